@@ -6,18 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, packing, quality, tokens, warc
+from . import chat, decontaminate, jaccard, packing, quality, tokens, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_jaccard": jaccard.op2_jaccard,
         "op4_warc": warc.op4_warc,
         "op5_quality": quality.op5_quality,
         "op6_packing": packing.op6_packing,
         "op7_tokens": tokens.op7_tokens,
         "op8_chat": chat.op8_chat,
+        "op10_decontaminate": decontaminate.op10_decontaminate,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_warc": warc.OP4_SQL, "op8_chat": chat.OP8_SQL}
+    return {"op2_jaccard": jaccard.OP2_SQL, "op10_decontaminate": decontaminate.OP10_SQL, "op4_warc": warc.OP4_SQL, "op8_chat": chat.OP8_SQL}

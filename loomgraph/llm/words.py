@@ -73,7 +73,7 @@ def span_hash(symbols: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.nda
 class Words:
     """``start``, ``end``, ``doc`` (place of the text in its group) and ``hash`` of each word; ``first[d]:first[d+1]`` are text d's words."""
 
-    def __init__(self, texts: list[bytes], in_word: np.ndarray):
+    def __init__(self, texts: list[bytes], in_word: np.ndarray, hashed: bool = True):
         self.symbols = np.frombuffer(b"\n" + b"\n".join(texts) + b"\n", np.uint8)
         inside = in_word[self.symbols]
         edge = np.flatnonzero(inside[1:] != inside[:-1]) + 1
@@ -82,7 +82,8 @@ class Words:
         self.at = np.concatenate([[1], 1 + np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1)])
         self.first = np.searchsorted(self.start, self.at)
         self.doc = np.repeat(np.arange(len(texts)), np.diff(self.first))
-        self.hash = span_hash(self.symbols, self.start, self.end)
+        if hashed:
+            self.hash = span_hash(self.symbols, self.start, self.end)
 
 
 def ngram_hash(h: np.ndarray, n: int) -> np.ndarray:
@@ -108,3 +109,40 @@ def shingle_sets(w: Words, n: int) -> list[np.ndarray]:
         else:
             out.append(np.empty(0, np.uint64))
     return out
+
+
+class Table:
+    """64-bit hashes to small integers, all looked up at once (open addressing over two arrays)."""
+
+    def __init__(self, room: int):
+        self.mask = np.uint64((1 << max(4, (2 * room - 1).bit_length())) - 1)
+        self.keys = np.zeros(int(self.mask) + 1, np.uint64)
+        self.values = np.zeros(len(self.keys), np.int32)
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """The integer of each hash, -1 if there is none."""
+        h = np.maximum(h, np.uint64(1))  # 0 marks a free slot
+        out = np.full(len(h), -1, np.int32)
+        slot = (h & self.mask).astype(np.int64)
+        keys = self.keys[slot]
+        hit = keys == h
+        out[hit] = self.values[slot[hit]]
+        rest = np.flatnonzero(~hit & (keys != 0))
+        while len(rest):
+            slot[rest] = (slot[rest] + 1) & int(self.mask)
+            keys = self.keys[slot[rest]]
+            hit = keys == h[rest]
+            out[rest[hit]] = self.values[slot[rest[hit]]]
+            rest = rest[~hit & (keys != 0)]
+        return out
+
+    def add(self, h: np.ndarray, values: np.ndarray) -> None:
+        """Distinct hashes that are not there yet; at most ``room`` in all."""
+        h = np.maximum(h, np.uint64(1))
+        slot = (h & self.mask).astype(np.int64)
+        while len(h):
+            free = self.keys[slot] == 0
+            self.keys[slot[free]] = h[free]  # of several for one slot one stays
+            done = free & (self.keys[slot] == h)
+            self.values[slot[done]] = values[done]
+            h, values, slot = h[~done], values[~done], (slot[~done] + 1) & int(self.mask)
