@@ -12,6 +12,7 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -20,73 +21,77 @@ from pyspark.sql import functions as F
 
 from . import simple8b
 from .common import scratch, small, table
-from .words import groups
+from .words import NOT_SPACE, Table, Words, groups, span_hash
+
+
+#: Points that end a word. After an ASCII letter they begin a token of their own.
+_POINT, _LETTER = np.zeros(256, bool), np.zeros(256, bool)
+_POINT[list(b".,;:!?")] = True
+_LETTER[0x41:0x5B] = _LETTER[0x61:0x7B] = True
 
 
 class Encoder:
-    """The library's ids of texts, word by word.
+    """The library's ids of texts, piece by piece.
 
-    The tokenizer's own pre-tokenizer never joins anything across ASCII white space, so a text's ids are those of its
-    white-space-separated pieces in order. Pieces repeat, and each is encoded once and kept, up to ``most`` of them.
+    The tokenizer drops white space, lower-cases, and never joins anything across ASCII white space or from a letter to a
+    point, so a text's ids are those of such pieces in order. Pieces repeat: each is encoded once, and up to ``most`` of
+    them are kept by hash.
     """
 
-    def __init__(self, path: str, most: int = 600_000):
+    def __init__(self, path: str, most: int = 1_500_000):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most = Tokenizer.from_file(path), most
         self.clear()
 
     def clear(self) -> None:
-        self.place: dict[bytes, int] = {}
+        self.place, self.pieces = Table(self.most), 0
         self.flat, self.used = np.empty(1 << 16, np.uint32), 0
-        self.start, self.size = np.empty(1 << 14, np.int64), np.empty(1 << 14, np.int64)
-
-    def _add(self, piece: bytes, ids) -> None:
-        k, n = len(self.place), len(ids)
-        if self.used + n > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.empty(len(self.flat) + n, np.uint32)])
-        if k == len(self.start):
-            self.start, self.size = (np.concatenate([x, np.empty_like(x)]) for x in (self.start, self.size))
-        self.flat[self.used : self.used + n] = ids
-        self.start[k], self.size[k], self.place[piece] = self.used, n, k
-        self.used += n
-
-    def _ids(self, piece: bytes) -> np.ndarray:
-        k = self.place[piece]
-        return self.flat[self.start[k] : self.start[k] + self.size[k]]
-
-    def _learn(self, pieces: list[bytes]) -> None:
+        self.start, self.size = np.empty(self.most, np.int64), np.empty(self.most, np.int32)
+
+    def _learn(self, hashes: np.ndarray, pieces: list[str]) -> None:
         for lo in range(0, len(pieces), 10_000):
-            some = pieces[lo : lo + 10_000]
-            for piece, e in zip(some, self.tokenizer.encode_batch_fast([x.decode() for x in some], add_special_tokens=False), strict=True):
-                self._add(piece, e.ids)
+            found = self.tokenizer.encode_batch_fast(pieces[lo : lo + 10_000], add_special_tokens=False)
+            ids = [e.ids for e in found]
+            size = np.fromiter(map(len, ids), np.int64, len(ids))
+            n, k = int(size.sum()), self.pieces + len(ids)
+            if self.used + n > len(self.flat):
+                self.flat = np.concatenate([self.flat, np.empty(len(self.flat) + n, np.uint32)])
+            self.flat[self.used : self.used + n] = np.fromiter(chain.from_iterable(ids), np.uint32, n)
+            self.start[self.pieces : k], self.size[self.pieces : k] = self.used + np.cumsum(size) - size, size
+            self.place.add(hashes[lo : lo + 10_000], np.arange(self.pieces, k, dtype=np.int32))
+            self.used, self.pieces = self.used + n, k
 
     def __call__(self, texts: list[bytes]) -> list[np.ndarray]:
-        split = [t.split() for t in texts]
-        flat = [w for ws in split for w in ws]
-        fresh = set(flat).difference(self.place)
-        if len(self.place) + len(fresh) > self.most:
-            self.clear()
-            fresh = set(flat)
-        # letters and then points are never joined to one token, and ASCII letters lose their case: encode the letters once
-        parts = {}
-        for w in fresh:
-            core = w.rstrip(b".,;:!?")
-            if core.decode().isalpha():
-                low = core.lower() if core.isascii() else core
-                if low != w:
-                    parts[w] = (low, w[len(core) :])
-        whole = fresh.difference(parts)
-        whole.update(x for pair in parts.values() for x in pair if x)
-        self._learn([w for w in whole if w not in self.place])
-        for w, pair in parts.items():
-            self._add(w, np.concatenate([self._ids(x) for x in pair if x]))
-        k = np.fromiter(map(self.place.__getitem__, flat), np.int64, len(flat))
-        size = self.size[k]
+        # a special token's name counts as written, so case stays where one may be
+        w = Words([t if b"<|" in t else t.lower() for t in texts], NOT_SPACE, hashed=False)
+        long = w.end - w.start > 1
+        split = long & _POINT[w.symbols[w.end - 1]] & _LETTER[w.symbols[w.end - 2]]
+        last = np.cumsum(1 + split)
+        start, end = np.repeat(w.start, 1 + split), np.repeat(w.end, 1 + split)
+        point = last[split] - 1
+        start[point] = end[point] - 1
+        end[point - 1] -= 1
+        h = span_hash(w.symbols, start, end)
+        k = self.place.find(h)
+        fresh, at = np.unique(h[k < 0], return_index=True)
+        if len(fresh):
+            if self.pieces + len(fresh) > self.most:
+                self.clear()
+                fresh, at = np.unique(h, return_index=True)
+                if len(fresh) > self.most:
+                    self.most = len(fresh)
+                    self.clear()
+            else:
+                at = np.flatnonzero(k < 0)[at]
+            raw = w.symbols.tobytes()
+            self._learn(fresh, [raw[a:b].decode() for a, b in zip(start[at].tolist(), end[at].tolist(), strict=True)])
+            k = self.place.find(h)
+        size = self.size[k].astype(np.int64)
         ends = np.cumsum(size)
         ids = self.flat[np.repeat(self.start[k] - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)]
-        cut = np.concatenate([[0], ends])[np.cumsum([0, *map(len, split)])]
-        return [ids[a:b] for a, b in zip(cut[:-1], cut[1:], strict=True)]
+        cut = np.concatenate([[0], ends])[np.concatenate([[0], last])[w.first]]
+        return [ids[a:b] for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
 
 
 @lru_cache(maxsize=2)
