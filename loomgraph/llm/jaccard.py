@@ -21,7 +21,7 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import small, table, written
@@ -32,6 +32,8 @@ from .words import NOT_SPACE, Words, groups, mix, shingle_sets
 COUNTERS, ROW = 1 << 21, 1 << 16
 #: Sizes beyond this are never light: their subsets are too many at any cost of lists.
 LIGHTEST = 40
+#: Common prefix shingles that two heavy sets must show before their texts are compared.
+AGREE = 4
 
 
 class Rule:
@@ -51,7 +53,8 @@ class Rule:
         return -(-self.percent * (a + b) // (100 + self.percent))
 
     def prefix(self, size: int) -> int:
-        return size - self.least(size) + 1
+        """So many shingles of a set that partners share ``AGREE`` of them, or all of their overlap if that is less."""
+        return min(size, size - self.least(size) + AGREE)
 
     def overlaps(self, size: int) -> list[int]:
         """The overlaps that partners of any size ask for."""
@@ -145,35 +148,35 @@ def _subset_tokens(s: np.ndarray, rule: Rule) -> np.ndarray:
 
 
 def postings(d: DataFrame, rule: Rule, light: int, level: np.ndarray) -> DataFrame:
-    """token, doc_id, size, place (rank of the shingle in the set's order; 0 for subsets)."""
+    """token, doc_id, size, weight (a common subset says as much as ``AGREE`` common prefix shingles)."""
     levels = d.sparkSession.sparkContext.broadcast(level)  # COUNTERS bytes
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order = levels.value
         for keys, sets in _sets(batches, rule):
-            tokens, docs, sizes, places = [], [], [], []
+            tokens, docs, sizes, weights = [], [], [], []
             for k, s in zip(keys, sets, strict=True):
                 if not len(s) or k is None:
                     continue
                 found = []
                 if len(s) <= light:
                     sub = _subset_tokens(s, rule)
-                    found.append((sub, np.zeros(len(sub), np.int32)))
+                    found.append((sub, AGREE))
                 if rule.most(len(s)) > light:
                     p = rule.prefix(len(s))
                     by = order[(s & np.uint64(COUNTERS - 1)).astype(np.int64)]
                     # sets are sorted by hash, so a stable sort by level orders by (level, hash)
                     first = s[np.argsort(by, kind="stable")[:p]]
-                    found.append((first, np.arange(p, dtype=np.int32)))
-                for t, at in found:
+                    found.append((first, 1))
+                for t, weight in found:
                     tokens.append(t)
-                    places.append(at)
+                    weights.append(np.full(len(t), weight, np.int32))
                     docs.append(np.full(len(t), k, np.int64))
                     sizes.append(np.full(len(t), len(s), np.int32))
             if tokens:
-                yield pa.RecordBatch.from_arrays([pa.array(_signed(np.concatenate(tokens))), pa.array(np.concatenate(docs)), pa.array(np.concatenate(sizes)), pa.array(np.concatenate(places))], names=["token", "doc_id", "size", "place"])
+                yield pa.RecordBatch.from_arrays([pa.array(_signed(np.concatenate(tokens))), pa.array(np.concatenate(docs)), pa.array(np.concatenate(sizes)), pa.array(np.concatenate(weights))], names=["token", "doc_id", "size", "weight"])
 
-    return d.mapInArrow(rows, "token long, doc_id long, size int, place int")
+    return d.mapInArrow(rows, "token long, doc_id long, size int, weight int")
 
 
 def linked(pairs: DataFrame, d: DataFrame, rule: Rule) -> DataFrame:
@@ -211,7 +214,7 @@ def joined(documents: DataFrame, n: int = 5, percent: int = 80, key: str = "doc_
     sets, counters = measured(d, rule)
     # equal sets are one node, named by its smallest id
     equal = sets.where("n_shingles > 0").groupBy("sum_a", "sum_b", "n_shingles").agg(F.min("doc_id").alias("rep"))
-    member = written(sets.join(equal, ["sum_a", "sum_b", "n_shingles"], "left").select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep")), "member")
+    member = written(sets.join(equal, ["sum_a", "sum_b", "n_shingles"], "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id")).alias("rep")), "member")
     rep = member.where("doc_id is not null").groupBy("doc_id").agg(F.min("rep").alias("rep"))
 
     counts = sketch(counters).astype(np.float64)
@@ -222,12 +225,13 @@ def joined(documents: DataFrame, n: int = 5, percent: int = 80, key: str = "doc_
     light = boundary(rule, sizes, float((counts * np.maximum(counts - load, 0)).sum() / total) * (1 - percent / 100))
 
     p = postings(d, rule, light, level)
-    least = p.groupBy("token").agg(F.min("doc_id").alias("pivot"), F.max("doc_id").alias("other")).where("pivot < other").drop("other")
-    lists = written(p.join(least, "token"), "lists")
+    least = p.groupBy("token").agg(F.min(F.struct("doc_id", "size")).alias("m"), F.max("doc_id").alias("other")).where("m.doc_id < other")
+    lists = written(p.join(least.select("token", F.col("m.doc_id").alias("pivot"), F.col("m.size").alias("pivot_size")), "token"), "lists")
 
-    star = lists.where("doc_id <> pivot").groupBy("doc_id", "pivot").agg(F.count(F.lit(1)).alias("n"))
+    # pivots only bring members together early, so pairs that share little may wait for the last step
+    star = lists.where((F.col("doc_id") != F.col("pivot")) & _sizes("size", "pivot_size", rule)).groupBy("doc_id", "pivot").agg(F.sum("weight").alias("n")).where(F.col("n") >= AGREE)
     star = star.join(rep.select("doc_id", F.col("rep").alias("a")), "doc_id").join(rep.select(F.col("doc_id").alias("pivot"), F.col("rep").alias("b")), "pivot")
-    star = written(star.where("a <> b").groupBy("a", "b").agg(F.sum("n").alias("n")), "star")
+    star = written(star.where("a <> b").groupBy("a", "b").agg(F.max("n").alias("n")), "star")
     # first each node with the pivot it meets most often, then with the others that are still apart
     done = written(_pairs(star.groupBy("a").agg(F.max(F.struct("n", "b")).alias("m")).select("a", "m.b")), "pairs")
     links = linked(done, d, rule)
@@ -246,19 +250,21 @@ def joined(documents: DataFrame, n: int = 5, percent: int = 80, key: str = "doc_
     return out.select("doc_id", "n_shingles", F.coalesce("root", "rep").alias("component_id"))
 
 
+def _sizes(a: str, b: str, rule: Rule) -> Column:
+    return 100 * F.least(a, b) >= rule.percent * F.greatest(a, b)
+
+
 def _across(lists: DataFrame, rep: DataFrame, of, rule: Rule) -> DataFrame:
-    """Pairs of a list's members in different components whose sizes and places allow a link."""
-    named = of(lists.join(rep, "doc_id").select("token", F.col("rep").alias("a"), "size", "place").distinct(), "a").withColumnRenamed("root_a", "root")
+    """Pairs in different components whose sizes allow a link and that share enough tokens."""
+    named = of(lists.join(rep, "doc_id").select("token", F.col("rep").alias("a"), "size", "weight").distinct(), "a").withColumnRenamed("root_a", "root")
     mixed = named.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("token")
     named = written(named.join(mixed, "token"), "mixed")
     roots = named.select("token", F.col("root").alias("root_b")).distinct()
     left = named.join(roots, "token").where("root < root_b")
-    right = named.select("token", F.col("root").alias("root_b"), F.col("a").alias("b"), F.col("size").alias("size_b"), F.col("place").alias("place_b"))
-    lo, hi = F.least("size", "size_b"), F.greatest("size", "size_b")
-    # what the sets can still share from this token on must reach the overlap asked for
-    room = 1 + F.least(F.col("size") - F.col("place"), F.col("size_b") - F.col("place_b")) - 1
-    fits = (100 * lo >= rule.percent * hi) & ((100 + rule.percent) * room >= rule.percent * (lo + hi))
-    return left.join(right, ["token", "root_b"]).where(fits).select("a", "b")
+    right = named.select("token", F.col("root").alias("root_b"), F.col("a").alias("b"), F.col("size").alias("size_b"))
+    met = left.join(right, ["token", "root_b"]).where(_sizes("size", "size_b", rule)).groupBy("a", "b", "size", "size_b").agg(F.sum("weight").alias("n"))
+    overlap = F.ceil(rule.percent * (F.col("size") + F.col("size_b")) / (100 + rule.percent))
+    return met.where(F.col("n") >= F.least(F.lit(AGREE), overlap)).select("a", "b")
 
 
 def op2_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

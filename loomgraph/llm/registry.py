@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, jaccard, packing, quality, tokens, warc
+from . import chat, decontaminate, jaccard, lines, packing, quality, tokens, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -17,6 +17,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_packing": packing.op6_packing,
         "op7_tokens": tokens.op7_tokens,
         "op8_chat": chat.op8_chat,
+        "op9_lines": lines.op9_lines,
         "op10_decontaminate": decontaminate.op10_decontaminate,
     }
 
