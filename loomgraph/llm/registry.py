@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, jaccard, lines, packing, quality, tokens, warc
+from . import chat, decontaminate, jaccard, language, lines, packing, quality, tokens, toxicity, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_toxicity": toxicity.op1_toxicity,
         "op2_jaccard": jaccard.op2_jaccard,
+        "op3_language": language.op3_language,
         "op4_warc": warc.op4_warc,
         "op5_quality": quality.op5_quality,
         "op6_packing": packing.op6_packing,
