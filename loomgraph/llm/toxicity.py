@@ -77,7 +77,7 @@ class Model:
     def __init__(self, hashes: np.ndarray):
         self.table = Table(max(1, len(hashes)))
         self.table.add(hashes, np.arange(len(hashes), dtype=np.int32))
-        self.weights, self.bias, self.step, self.curve = np.full(len(hashes), 2.0), -4.0, np.zeros((2, 2)), (-30.0, 0.0)
+        self.weights, self.bias, self.step, self.curve = np.full(len(hashes), 12.0), -9.0, np.zeros((2, 2)), (-30.0, 0.0)
         self.plain: dict[int, float] = {}
 
     def active(self, w: Words) -> tuple[np.ndarray, np.ndarray]:
