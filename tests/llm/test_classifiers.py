@@ -36,7 +36,7 @@ def test_spans_are_code_points(spark):
     assert [text[s["start"] : s["end"]] for s in rows[1]["spans"]] == ["scumbag", "SCUM9"]
     assert rows[1]["score"] > 0.7 > rows[2]["score"] and rows[2]["spans"] == rows[3]["spans"] == [] and len(rows) == 4
     assert toxicity.scored(d.limit(0), m, ["doc_id"]).count() == 0
-    assert {r["score"] for r in toxicity.scored(d, toxicity.fit([]), ["doc_id"]).collect()} == {pytest.approx(0, abs=1e-9)}
+    assert all(r["score"] < 1e-9 for r in toxicity.scored(d, toxicity.fit([]), ["doc_id"]).collect())
 
 
 def test_scores_do_not_depend_on_the_group():
