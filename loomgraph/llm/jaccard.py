@@ -34,6 +34,8 @@ COUNTERS, ROW = 1 << 21, 1 << 16
 LIGHTEST = 40
 #: Common prefix shingles that two heavy sets must show before their texts are compared.
 AGREE = 4
+#: Members of a list, the first in as many fixed orders of all documents, that the others are compared with first.
+PIVOTS = 6
 
 
 class Rule:
@@ -225,11 +227,13 @@ def joined(documents: DataFrame, n: int = 5, percent: int = 80, key: str = "doc_
     light = boundary(rule, sizes, float((counts * np.maximum(counts - load, 0)).sum() / total) * (1 - percent / 100))
 
     p = postings(d, rule, light, level)
-    least = p.groupBy("token").agg(F.min(F.struct("doc_id", "size")).alias("m"), F.max("doc_id").alias("other")).where("m.doc_id < other")
-    lists = written(p.join(least.select("token", F.col("m.doc_id").alias("pivot"), F.col("m.size").alias("pivot_size")), "token"), "lists")
+    first = lambda k: F.min(F.struct(F.xxhash64("doc_id", F.lit(k)).alias("h"), "doc_id", "size"))
+    least = p.groupBy("token").agg(F.array(*[first(k) for k in range(PIVOTS)]).alias("pivots"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi")
+    lists = written(p.join(least.select("token", F.transform("pivots", lambda m: F.struct(m["doc_id"].alias("pivot"), m["size"].alias("pivot_size"))).alias("pivots")), "token"), "lists")
 
     # pivots only bring members together early, so pairs that share little may wait for the last step
-    star = lists.where((F.col("doc_id") != F.col("pivot")) & _sizes("size", "pivot_size", rule)).groupBy("doc_id", "pivot").agg(F.sum("weight").alias("n")).where(F.col("n") >= AGREE)
+    met = lists.select("doc_id", "size", "weight", F.explode(F.array_distinct("pivots")).alias("m")).select("doc_id", "size", "weight", "m.*")
+    star = met.where((F.col("doc_id") != F.col("pivot")) & _sizes("size", "pivot_size", rule)).groupBy("doc_id", "pivot").agg(F.sum("weight").alias("n")).where(F.col("n") >= AGREE)
     star = star.join(rep.select("doc_id", F.col("rep").alias("a")), "doc_id").join(rep.select(F.col("doc_id").alias("pivot"), F.col("rep").alias("b")), "pivot")
     star = written(star.where("a <> b").groupBy("a", "b").agg(F.max("n").alias("n")), "star")
     # first each node with the pivot it meets most often, then with the others that are still apart
