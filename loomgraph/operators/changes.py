@@ -2,10 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import os
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def shared_folder(spark: SparkSession) -> None:
+    """Checkpoints go to the folder named in spark.checkpoint.dir; a local session without it gets one of its own."""
+    sc = spark.sparkContext
+    if not sc._jsc.sc().getCheckpointDir().isDefined():
+        where = spark.conf.get("spark.checkpoint.dir", None)
+        if not where:
+            if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+            where = os.path.join(tempfile.gettempdir(), "loomgraph-checkpoints")
+        sc.setCheckpointDir(where)
+
+
 def inverse_edges(edges: DataFrame, inverses: DataFrame) -> DataFrame:
     """A reversed copy of each edge whose relation has an inverse; ``inverses`` has relation and inverse."""
     out = edges.join(inverses, "relation")
@@ -19,6 +34,7 @@ def reachable(membership: DataFrame, start: str, max_depth: int = 10) -> DataFra
     checkpointed each hop, so plans stay short. Hops end when a frontier is empty.
     """
     spark = membership.sparkSession
+    shared_folder(spark)
     m = membership.select("hypergraph_id", "edge_id", "node_id").distinct()
     seen = spark.createDataFrame([(start, 0)], "node_id string, depth int")
     frontier = seen
