@@ -34,8 +34,8 @@ COUNTERS, ROW = 1 << 21, 1 << 16
 LIGHTEST = 40
 #: Common prefix shingles that two heavy sets must show before their texts are compared.
 AGREE = 4
-#: Members of a list, the first in as many fixed orders of all documents, that the others are compared with first.
-PIVOTS = 6
+#: Members of a list that the others are compared with first: those whose id xor one of these is least.
+PIVOTS = [k * 0x9E3779B97F4A7C15 % (1 << 63) for k in range(6)]
 
 
 class Rule:
@@ -217,7 +217,7 @@ def joined(documents: DataFrame, n: int = 5, percent: int = 80, key: str = "doc_
     # equal sets are one node, named by its smallest id
     equal = sets.where("n_shingles > 0").groupBy("sum_a", "sum_b", "n_shingles").agg(F.min("doc_id").alias("rep"))
     member = written(sets.join(equal, ["sum_a", "sum_b", "n_shingles"], "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id")).alias("rep")), "member")
-    rep = member.where("doc_id is not null").groupBy("doc_id").agg(F.min("rep").alias("rep"))
+    rep = member.where("doc_id is not null").groupBy("doc_id").agg(F.min("rep").alias("rep"), F.min("n_shingles").alias("least"), F.max("n_shingles").alias("most"))
 
     counts = sketch(counters).astype(np.float64)
     total = max(1.0, counts.sum())
@@ -226,15 +226,19 @@ def joined(documents: DataFrame, n: int = 5, percent: int = 80, key: str = "doc_
     sizes = {r["n_shingles"]: r["count"] for r in sets.where(F.col("n_shingles").between(1, LIGHTEST)).groupBy("n_shingles").count().collect()}
     light = boundary(rule, sizes, float((counts * np.maximum(counts - load, 0)).sum() / total) * (1 - percent / 100))
 
-    p = postings(d, rule, light, level)
-    first = lambda k: F.min(F.struct(F.xxhash64("doc_id", F.lit(k)).alias("h"), "doc_id", "size"))
-    least = p.groupBy("token").agg(F.array(*[first(k) for k in range(PIVOTS)]).alias("pivots"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi")
-    lists = written(p.join(least.select("token", F.transform("pivots", lambda m: F.struct(m["doc_id"].alias("pivot"), m["size"].alias("pivot_size"))).alias("pivots")), "token"), "lists")
+    p = written(postings(d, rule, light, level), "postings")
+    # most tokens stand in one document: they go before anything wider is shuffled
+    shared = written(p.groupBy("token").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("token"), "shared")
+    p = written(p.join(shared, "token", "left_semi"), "met")
+    pivots = p.groupBy("token").agg(*[F.min(F.col("doc_id").bitwiseXOR(F.lit(x))).alias(f"m{k}") for k, x in enumerate(PIVOTS)])
+    pivots = written(pivots.select("token", F.array_distinct(F.array(*[F.col(f"m{k}").bitwiseXOR(F.lit(x)) for k, x in enumerate(PIVOTS)])).alias("pivots")), "pivots")
 
     # pivots only bring members together early, so pairs that share little may wait for the last step
-    met = lists.select("doc_id", "size", "weight", F.explode(F.array_distinct("pivots")).alias("m")).select("doc_id", "size", "weight", "m.*")
-    star = met.where((F.col("doc_id") != F.col("pivot")) & _sizes("size", "pivot_size", rule)).groupBy("doc_id", "pivot").agg(F.sum("weight").alias("n")).where(F.col("n") >= AGREE)
-    star = star.join(rep.select("doc_id", F.col("rep").alias("a")), "doc_id").join(rep.select(F.col("doc_id").alias("pivot"), F.col("rep").alias("b")), "pivot")
+    star = p.join(pivots, "token").select("doc_id", "weight", F.explode("pivots").alias("pivot")).where("doc_id <> pivot")
+    star = star.groupBy("doc_id", "pivot").agg(F.sum("weight").alias("n")).where(F.col("n") >= AGREE)
+    side = lambda node, c: rep.select(F.col("doc_id").alias(node), F.col("rep").alias(c), F.col("least").alias(f"least_{c}"), F.col("most").alias(f"most_{c}"))
+    star = star.join(side("doc_id", "a"), "doc_id").join(side("pivot", "b"), "pivot")
+    star = star.where((100 * F.col("most_a") >= percent * F.col("least_b")) & (100 * F.col("most_b") >= percent * F.col("least_a")))
     star = written(star.where("a <> b").groupBy("a", "b").agg(F.max("n").alias("n")), "star")
     # first each node with the pivot it meets most often, then with the others that are still apart
     done = written(_pairs(star.groupBy("a").agg(F.max(F.struct("n", "b")).alias("m")).select("a", "m.b")), "pairs")
@@ -245,7 +249,7 @@ def joined(documents: DataFrame, n: int = 5, percent: int = 80, key: str = "doc_
         if step == "pivots":
             apart = of(of(_pairs(star), "a"), "b").where("root_a <> root_b").select("a", "b")
         else:
-            apart = _pairs(_across(lists, rep, of, rule))
+            apart = _pairs(_across(p, rep, of, rule))
         more = written(apart.join(done, ["a", "b"], "left_anti"), "pairs")
         links = links.unionByName(linked(more, d, rule))
         done = done.unionByName(more)
@@ -260,7 +264,7 @@ def _sizes(a: str, b: str, rule: Rule) -> Column:
 
 def _across(lists: DataFrame, rep: DataFrame, of, rule: Rule) -> DataFrame:
     """Pairs in different components whose sizes allow a link and that share enough tokens."""
-    named = of(lists.join(rep, "doc_id").select("token", F.col("rep").alias("a"), "size", "weight").distinct(), "a").withColumnRenamed("root_a", "root")
+    named = of(lists.join(rep.select("doc_id", "rep"), "doc_id").select("token", F.col("rep").alias("a"), "size", "weight").distinct(), "a").withColumnRenamed("root_a", "root")
     mixed = named.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("token")
     named = written(named.join(mixed, "token"), "mixed")
     roots = named.select("token", F.col("root").alias("root_b")).distinct()
