@@ -34,8 +34,8 @@ COUNTERS, ROW = 1 << 21, 1 << 16
 LIGHTEST = 40
 #: Common prefix shingles that two heavy sets must show before their texts are compared.
 AGREE = 4
-#: Members of a list that the others are compared with first: those whose id xor one of these is least.
-PIVOTS = [k * 0x9E3779B97F4A7C15 % (1 << 63) for k in range(6)]
+#: So many members of a list are those that the others are compared with first; half of them have the fewest rare shingles.
+PIVOTS = 6
 
 
 class Rule:
@@ -58,6 +58,12 @@ class Rule:
         """So many shingles of a set that partners share ``AGREE`` of them, or all of their overlap if that is less."""
         return min(size, size - self.least(size) + AGREE)
 
+    def prefix_column(self, size: str) -> Column:
+        return F.least(F.col(size), F.col(size) - F.ceil(F.col(size) * self.percent / 100) + AGREE)
+
+    def overlap_column(self, a: str, b: str) -> Column:
+        return F.ceil(self.percent * (F.col(a) + F.col(b)) / (100 + self.percent))
+
     def overlaps(self, size: int) -> list[int]:
         """The overlaps that partners of any size ask for."""
         return sorted({o for b in range(self.least(size), self.most(size) + 1) if (o := self.overlap(size, b)) <= size})
@@ -150,17 +156,17 @@ def _subset_tokens(s: np.ndarray, rule: Rule) -> np.ndarray:
 
 
 def postings(d: DataFrame, rule: Rule, light: int, level: np.ndarray) -> DataFrame:
-    """token, doc_id, size, weight (a common subset says as much as ``AGREE`` common prefix shingles)."""
+    """token, doc_id, size, weight (a common subset says as much as ``AGREE`` common prefix shingles), name (of the set)."""
     levels = d.sparkSession.sparkContext.broadcast(level)  # COUNTERS bytes
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order = levels.value
         for keys, sets in _sets(batches, rule):
-            tokens, docs, sizes, weights = [], [], [], []
+            tokens, docs, sizes, weights, names = [], [], [], [], []
             for k, s in zip(keys, sets, strict=True):
                 if not len(s) or k is None:
                     continue
-                found = []
+                found, name = [], mix(s ^ np.uint64(1)).sum(dtype=np.uint64).view(np.int64)
                 if len(s) <= light:
                     sub = _subset_tokens(s, rule)
                     found.append((sub, AGREE))
@@ -175,10 +181,27 @@ def postings(d: DataFrame, rule: Rule, light: int, level: np.ndarray) -> DataFra
                     weights.append(np.full(len(t), weight, np.int32))
                     docs.append(np.full(len(t), k, np.int64))
                     sizes.append(np.full(len(t), len(s), np.int32))
+                    names.append(np.full(len(t), name, np.int64))
             if tokens:
-                yield pa.RecordBatch.from_arrays([pa.array(_signed(np.concatenate(tokens))), pa.array(np.concatenate(docs)), pa.array(np.concatenate(sizes)), pa.array(np.concatenate(weights))], names=["token", "doc_id", "size", "weight"])
+                columns = {"token": _signed(np.concatenate(tokens)), "doc_id": np.concatenate(docs), "size": np.concatenate(sizes), "weight": np.concatenate(weights), "name": np.concatenate(names)}
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns.values()], names=list(columns))
+
+    return d.mapInArrow(rows, "token long, doc_id long, size int, weight int, name long")
 
-    return d.mapInArrow(rows, "token long, doc_id long, size int, weight int")
+
+def shared(p: DataFrame, rule: Rule, light: int) -> DataFrame:
+    """The postings whose token stands in several sets, with ``own``: so many prefix shingles of the set stand in no other.
+
+    A set's overlap with any other is at most its size less ``own``.
+    """
+    # most tokens stand in one set: they go before anything wider is shuffled
+    several = written(p.groupBy("token").agg(F.min("name").alias("lo"), F.max("name").alias("hi")).where("lo < hi").select("token"), "shared")
+    met = written(p.drop("name").join(several, "token", "left_semi"), "met")
+    listed = met.groupBy("doc_id", "size").agg(F.sum((F.col("weight") == 1).cast("int")).alias("n"))
+    # rows that share an id count together, which can only lower the number
+    own = F.greatest(F.lit(0), rule.prefix_column("size") - F.col("n"))
+    has_prefix = F.floor(F.col("size") * 100 / rule.percent) > light
+    return written(met.join(listed.select("doc_id", "size", F.when(has_prefix, own).otherwise(0).cast("int").alias("own")), ["doc_id", "size"]), "postings")
 
 
 def linked(pairs: DataFrame, d: DataFrame, rule: Rule) -> DataFrame:
@@ -227,11 +250,10 @@ def joined(documents: DataFrame, n: int = 5, percent: int = 80, key: str = "doc_
     light = boundary(rule, sizes, float((counts * np.maximum(counts - load, 0)).sum() / total) * (1 - percent / 100))
 
     p = written(postings(d, rule, light, level), "postings")
-    # most tokens stand in one document: they go before anything wider is shuffled
-    shared = written(p.groupBy("token").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("token"), "shared")
-    p = written(p.join(shared, "token", "left_semi"), "met")
-    pivots = p.groupBy("token").agg(*[F.min(F.col("doc_id").bitwiseXOR(F.lit(x))).alias(f"m{k}") for k, x in enumerate(PIVOTS)])
-    pivots = written(pivots.select("token", F.array_distinct(F.array(*[F.col(f"m{k}").bitwiseXOR(F.lit(x)) for k, x in enumerate(PIVOTS)])).alias("pivots")), "pivots")
+    p = shared(p, rule, light)
+    order = [F.xxhash64("doc_id", F.lit(k)).bitwiseAND((1 << 40) - 1) + (F.shiftleft(F.col("own").cast("long"), 40) if k % 2 else 0) for k in range(PIVOTS)]
+    pivots = p.groupBy("token").agg(*[F.min_by("doc_id", o).alias(f"m{k}") for k, o in enumerate(order)])
+    pivots = written(pivots.select("token", F.array_distinct(F.array(*[f"m{k}" for k in range(PIVOTS)])).alias("pivots")), "pivots")
 
     # pivots only bring members together early, so pairs that share little may wait for the last step
     star = p.join(pivots, "token").select("doc_id", "weight", F.explode("pivots").alias("pivot")).where("doc_id <> pivot")
@@ -249,7 +271,7 @@ def joined(documents: DataFrame, n: int = 5, percent: int = 80, key: str = "doc_
         if step == "pivots":
             apart = of(of(_pairs(star), "a"), "b").where("root_a <> root_b").select("a", "b")
         else:
-            apart = _pairs(_across(p, rep, of, rule))
+            apart = _pairs(_across(p, rep, of, rule, light))
         more = written(apart.join(done, ["a", "b"], "left_anti"), "pairs")
         links = links.unionByName(linked(more, d, rule))
         done = done.unionByName(more)
@@ -262,17 +284,24 @@ def _sizes(a: str, b: str, rule: Rule) -> Column:
     return 100 * F.least(a, b) >= rule.percent * F.greatest(a, b)
 
 
-def _across(lists: DataFrame, rep: DataFrame, of, rule: Rule) -> DataFrame:
-    """Pairs in different components whose sizes allow a link and that share enough tokens."""
-    named = of(lists.join(rep.select("doc_id", "rep"), "doc_id").select("token", F.col("rep").alias("a"), "size", "weight").distinct(), "a").withColumnRenamed("root_a", "root")
+def _across(lists: DataFrame, rep: DataFrame, of, rule: Rule, light: int) -> DataFrame:
+    """Pairs in different components whose sizes allow a link and that share enough tokens.
+
+    Of two prefixes, the one that ends first in the common order has all its common shingles in the other. So the overlap
+    is at most the common prefix shingles and the rest of that set.
+    """
+    named = of(lists.join(rep.select("doc_id", "rep"), "doc_id").select("token", F.col("rep").alias("a"), "size", "weight", "own").distinct(), "a").withColumnRenamed("root_a", "root")
     mixed = named.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("token")
     named = written(named.join(mixed, "token"), "mixed")
     roots = named.select("token", F.col("root").alias("root_b")).distinct()
     left = named.join(roots, "token").where("root < root_b")
-    right = named.select("token", F.col("root").alias("root_b"), F.col("a").alias("b"), F.col("size").alias("size_b"))
-    met = left.join(right, ["token", "root_b"]).where(_sizes("size", "size_b", rule)).groupBy("a", "b", "size", "size_b").agg(F.sum("weight").alias("n"))
-    overlap = F.ceil(rule.percent * (F.col("size") + F.col("size_b")) / (100 + rule.percent))
-    return met.where(F.col("n") >= F.least(F.lit(AGREE), overlap)).select("a", "b")
+    right = named.select("token", F.col("root").alias("root_b"), F.col("a").alias("b"), F.col("size").alias("size_b"), F.col("own").alias("own_b"))
+    overlap = rule.overlap_column("size", "size_b")
+    can = _sizes("size", "size_b", rule) & (overlap <= F.least(F.col("size") - F.col("own"), F.col("size_b") - F.col("own_b")))
+    met = left.join(right, ["token", "root_b"]).where(can).groupBy("a", "b", "size", "size_b").agg(F.sum("weight").alias("n"))
+    rest = F.greatest(F.col("size") - rule.prefix_column("size"), F.col("size_b") - rule.prefix_column("size_b"))
+    heavy = F.greatest("size", "size_b") > light
+    return met.where((F.col("n") >= F.least(F.lit(AGREE), overlap)) & (~heavy | (F.col("n") >= overlap - rest))).select("a", "b")
 
 
 def op2_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
