@@ -293,12 +293,13 @@ def _across(lists: DataFrame, rep: DataFrame, of, rule: Rule, light: int) -> Dat
     named = of(lists.join(rep.select("doc_id", "rep"), "doc_id").select("token", F.col("rep").alias("a"), "size", "weight", "own").distinct(), "a").withColumnRenamed("root_a", "root")
     mixed = named.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("token")
     named = written(named.join(mixed, "token"), "mixed")
-    roots = named.select("token", F.col("root").alias("root_b")).distinct()
-    left = named.join(roots, "token").where("root < root_b")
-    right = named.select("token", F.col("root").alias("root_b"), F.col("a").alias("b"), F.col("size").alias("size_b"), F.col("own").alias("own_b"))
     overlap = rule.overlap_column("size", "size_b")
     can = _sizes("size", "size_b", rule) & (overlap <= F.least(F.col("size") - F.col("own"), F.col("size_b") - F.col("own_b")))
-    met = left.join(right, ["token", "root_b"]).where(can).groupBy("a", "b", "size", "size_b").agg(F.sum("weight").alias("n"))
+    kind = [F.col(c).alias(f"{c}_b") for c in ("root", "size", "own")]
+    # each member with the kinds of members it may link with, so that no others are met
+    left = named.join(named.select("token", *kind).distinct(), "token").where((F.col("root") < F.col("root_b")) & can)
+    right = named.select("token", *kind, F.col("a").alias("b"))
+    met = left.join(right, ["token", "root_b", "size_b", "own_b"]).groupBy("a", "b", "size", "size_b").agg(F.sum("weight").alias("n"))
     rest = F.greatest(F.col("size") - rule.prefix_column("size"), F.col("size_b") - rule.prefix_column("size_b"))
     heavy = F.greatest("size", "size_b") > light
     return met.where((F.col("n") >= F.least(F.lit(AGREE), overlap)) & (~heavy | (F.col("n") >= overlap - rest))).select("a", "b")
