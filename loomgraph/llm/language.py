@@ -58,9 +58,9 @@ class Model:
         self.langs, self.words, self.grams = langs, words, grams
 
     @staticmethod
-    def _part(hashes: np.ndarray, lang: np.ndarray, langs: int, least: int) -> tuple[Table, np.ndarray]:
+    def _part(hashes: np.ndarray, times: np.ndarray, lang: np.ndarray, langs: int, least: int) -> tuple[Table, np.ndarray]:
         keys, place = np.unique(hashes, return_inverse=True)
-        counts = np.stack([np.bincount(place[lang == k], minlength=len(keys)) for k in range(langs)], axis=1).astype(float)
+        counts = np.stack([np.bincount(place[lang == k], weights=times[lang == k], minlength=len(keys)) for k in range(langs)], axis=1)
         known = counts.sum(axis=1) >= least
         keys, counts = keys[known], counts[known]
         t = Table(max(1, len(keys)))
@@ -110,23 +110,27 @@ def _spans(symbols: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
 def fit(sample: list[tuple[str, bytes]]) -> Model:
     """Fit on (language, text)."""
     langs = sorted({y for y, _ in sample})
-    word_h, word_l, gram_h, gram_l = [], [], {n: [] for n in ORDERS}, {n: [] for n in ORDERS}
-    for lo, hi in groups([t for _, t in sample], 1 << 22):
-        x = Letters([t for _, t in sample[lo:hi]])
-        lang = np.repeat([langs.index(y) for y, _ in sample[lo:hi]], np.diff(x.first))
-        word_h.append(x.hash)
-        word_l.append(lang)
-        symbols = bordered(x.symbols)
-        # n-grams of distinct words, as unseen words are rather of that kind
-        _, one = np.unique(x.hash, return_index=True)
-        for n in ORDERS:
-            word, at = _grams(x, one, n)
-            gram_h[n].append(_spans(symbols, at, n))
-            gram_l[n].append(lang[one][word])
     if not langs:
         return Model([], None, None)
-    part = lambda h, y, least: Model._part(np.concatenate(h), np.concatenate(y), len(langs), least)
-    return Model(langs, part(word_h, word_l, 2), {n: part(gram_h[n], gram_l[n], 1) for n in ORDERS})
+    words, grams = [], {n: [] for n in ORDERS}
+
+    def add(to: list, hashes: np.ndarray, lang: int) -> None:
+        """Counted at once, so that memory goes with distinct hashes."""
+        keys, times = np.unique(hashes, return_counts=True)
+        to.append((keys, times.astype(np.int32), np.full(len(keys), lang, np.int16)))
+
+    for k, lang in enumerate(langs):
+        texts = [t for y, t in sample if y == lang]
+        for lo, hi in groups(texts, 1 << 21):
+            x = Letters(texts[lo:hi])
+            add(words, x.hash, k)
+            symbols = bordered(x.symbols)
+            # n-grams of distinct words, as unseen words are rather of that kind
+            _, one = np.unique(x.hash, return_index=True)
+            for n in ORDERS:
+                add(grams[n], _spans(symbols, _grams(x, one, n)[1], n), k)
+    part = lambda found, least: Model._part(*(np.concatenate(c) for c in zip(*found, strict=True)), len(langs), least)
+    return Model(langs, part(words, 2), {n: part(grams[n], 1) for n in ORDERS})
 
 
 def identified(documents: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
