@@ -8,7 +8,8 @@ occurrence (smallest document id, then line number) stays, all others go.
 Within a block's value, members are first compared with one pivot, then only with members of other groups, so nothing grows
 with the square of a group and no link between groups is lost.
 
-Defined cases: lines under ``least`` words always stay, as do blank lines. Null text stays null; null ids are left alone.
+Defined cases: lines under ``least`` words always stay, as do blank lines; where a script has no spaces, each character
+counts as a word. Null text stays null; null ids are left alone.
 Repeated rows share their occurrences, so both keep what either keeps. Empty table: no rows. Extra columns stay.
 """
 
@@ -31,8 +32,25 @@ _DIGITS = bytes.maketrans(b"123456789", b"0" * 9)
 _LANES = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).view("<u8").ravel()
 
 
+def _unspaced(s: np.ndarray) -> np.ndarray:
+    """Where a character of a script without spaces begins: Han, kana, Thai, Lao, Tibetan, Burmese, Khmer."""
+    n = np.append(s[1:], np.uint8(0))
+    found = ((s >= 0xE4) & (s <= 0xE9)) | ((s == 0xE3) & (n >= 0x81)) | ((s == 0xE0) & (n >= 0xB8)) | ((s == 0xF0) & (n >= 0xA0) & (n <= 0xB3))
+    return np.flatnonzero(found | ((s == 0xE1) & ((n <= 0x82) | (n == 0x9E) | (n == 0x9F))))
+
+
+def _pieces(w: Words) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the words, cut further into characters where a script has no spaces."""
+    at = _unspaced(w.symbols)
+    if not len(at):
+        return w.start, w.end
+    start = np.unique(np.concatenate([w.start, at, at + np.where(w.symbols[at] == 0xF0, 4, 3)]))
+    start = start[ALNUM[w.symbols[start]]]
+    return start, np.minimum(np.append(start[1:], len(w.symbols)), w.end[np.searchsorted(w.start, start, "right") - 1])
+
+
 class Lines:
-    """Lines of at least ``least`` words: text's place, line number, first word and end among all words, key."""
+    """Lines of at least ``least`` words or characters of a script without spaces: text's place, line number, first word and end among all words, key."""
 
     def __init__(self, texts: list[bytes], least: int):
         self.words = w = Words([t.lower().translate(_DIGITS) for t in texts], ALNUM)
@@ -40,7 +58,9 @@ class Lines:
         line = np.searchsorted(breaks, w.start)  # a break stands before each text too
         first = np.flatnonzero(np.diff(line, prepend=-1))
         end = np.append(first[1:], len(line))
-        first, end = (x[end - first >= least] for x in (first, end))
+        piece, _ = _pieces(w)
+        enough = np.searchsorted(piece, w.end[end - 1]) - np.searchsorted(piece, w.start[first]) >= least
+        first, end = first[enough], end[enough]
         self.first, self.end, self.doc = first, end, w.doc[first]
         self.number = line[first] - 1 - np.searchsorted(breaks, w.at[self.doc] - 1)
         keys = np.stack([span_hash(w.hash, first, end), span_hash(mix(w.hash ^ np.uint64(0xA0761D6478BD642F)), first, end)], axis=1)
@@ -126,7 +146,7 @@ def _pairs(df: DataFrame) -> DataFrame:
     return df.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct()
 
 
-def duplicates(documents: DataFrame, least: int = 8, similarity: float = 0.8, key: str = "doc_id", text: str = "text") -> DataFrame:
+def duplicates(documents: DataFrame, least: int = 5, similarity: float = 0.8, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, removed (line numbers from 0), kept_in (documents that hold the lines that stay), of documents that lose lines."""
     d = documents.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     lines = written(found(d, least), "lines")
@@ -157,7 +177,7 @@ def duplicates(documents: DataFrame, least: int = 8, similarity: float = 0.8, ke
     return gone.groupBy("doc_id").agg(F.array_sort(F.collect_set("line")).alias("removed"), F.array_sort(F.collect_set("stays.doc_id")).alias("kept_in"))
 
 
-def deduplicated(documents: DataFrame, least: int = 8, similarity: float = 0.8, key: str = "doc_id", text: str = "text") -> DataFrame:
+def deduplicated(documents: DataFrame, least: int = 5, similarity: float = 0.8, key: str = "doc_id", text: str = "text") -> DataFrame:
     """All documents with ``text`` without its removed lines; adds removed_lines and kept_in (null where nothing goes)."""
     gone = written(duplicates(documents, least, similarity, key, text), "removed").withColumnsRenamed({"doc_id": "_gone_id", "removed": "removed_lines"})
     out = documents.join(small(gone, 100), documents[key] == gone["_gone_id"], "left").drop("_gone_id")
