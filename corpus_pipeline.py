@@ -27,7 +27,7 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated lines go, and documents of which nothing but white space is left by that."""
-    out = lines.deduplicated(docs).where(F.col("removed_lines").isNull() | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    out = lines.deduplicated(docs, near="pairs").where(F.col("removed_lines").isNull() | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     return out.withColumn("n_chars", F.when(F.col("removed_lines").isNull(), F.col("n_chars")).otherwise(F.char_length("text").cast("long"))).select(*docs.columns)
 
 

@@ -1,11 +1,13 @@
 """Fuzzy line deduplication over all documents.
 
-A line is normalised to its lower-case words with digits as 0. Equal lines are one node, named by a 128-bit hash. Nodes get
-a SimHash of their distinct words in ``BLOCKS`` blocks of 32 bits; two SimHashes that differ in fewer bits than there are blocks agree
-in a block, and nodes that agree in any block are compared by edit similarity. Of each connected group of lines the first
+A line is normalised to its lower-case words with digits as 0. Equal lines are one node, named by a 128-bit hash. Nodes that
+have a value in common are compared by edit similarity. ``near`` says which values a node gets: "blocks" are the 32-bit blocks
+of a SimHash of its distinct words, one of which agrees if fewer bits than there are blocks differ, which few near copies do;
+"pairs" are ``BANDS`` MinHashes of its pairs of neighbouring words, and for short lines one hash without each of the words, so
+that any one word may differ (a character of a script without spaces is a word here). op9 and the pipeline take pairs. Of each connected group of lines the first
 occurrence (smallest document id, then line number) stays, all others go.
 
-Within a block's value, members are first compared with one pivot, then only with members of other groups, so nothing grows
+Within a value, members are first compared with one pivot, then only with members of other groups, so nothing grows
 with the square of a group and no link between groups is lost.
 
 Defined cases: lines under ``least`` words always stay, as do blank lines; where a script has no spaces, each character
@@ -24,9 +26,11 @@ from pyspark.sql import functions as F
 
 from .common import small, table, written
 from .components import components
-from .words import ALNUM, Words, groups, mix, span_hash
+from .words import ALNUM, Words, groups, mix, ngram_hash, span_hash
 
 BLOCKS = 6
+#: MinHashes of a line, and smallest pair hashes in one; lines of up to SHORT words get hashes without each word too.
+BANDS, ROWS, SHORT = 20, 3, 12
 _DIGITS = bytes.maketrans(b"123456789", b"0" * 9)
 #: The eight bits of a byte as eight bytes, to be summed in one word.
 _LANES = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).view("<u8").ravel()
@@ -98,22 +102,75 @@ class Lines:
         return out.view("<i4")
 
 
+    def size(self) -> np.ndarray:
+        """Characters of each line's text."""
+        w = self.words
+        run = np.concatenate([[0], np.cumsum((w.symbols & 0xC0) != 0x80)])
+        chars = np.concatenate([[0], np.cumsum(run[w.end] - run[w.start])])
+        return chars[self.end] - chars[self.first] + self.end - self.first - 1
+
+    def blocks(self) -> tuple[np.ndarray, np.ndarray]:
+        """Values of the lines one after another, and how many each has: the SimHash's blocks with their places."""
+        h = self.simhash()
+        return (h.view(np.uint32).astype(np.int64) | (np.arange(BLOCKS, dtype=np.int64) << 32)).ravel(), np.full(len(h), BLOCKS)
+
+    def pairs(self) -> tuple[np.ndarray, np.ndarray]:
+        """Values of the lines one after another, and how many each has: bands, and hashes without one word."""
+        w, n = self.words, len(self.first)
+        start, end = _pieces(w)
+        lo, hi = np.searchsorted(start, w.start[self.first]), np.searchsorted(start, w.end[self.end - 1])
+        h, size = w.hash if start is w.start else span_hash(w.symbols, start, end), hi - lo
+        out, of = [], []
+        for a in range(0, n, 4096):
+            # pairs of neighbours; a line's last word, which has none, takes the pair before
+            at, count = lo[a : a + 4096], size[a : a + 4096]
+            begin = np.cumsum(count) - count
+            place = np.repeat(at - begin, count) + np.arange(count.sum())
+            place[begin + count - 1] -= count > 1
+            pair = (mix(h[place] * np.uint64(3) + h[np.minimum(place + 1, len(h) - 1)]) >> np.uint64(32)).astype(np.uint32)
+            for k in range(BANDS):
+                value = np.full(len(at), k, np.uint64)
+                for j in range(ROWS):
+                    odd = np.uint32(mix(np.array([k * ROWS + j + 1], np.uint64))[0] & np.uint64(0xFFFFFFFF) | np.uint64(1))
+                    value = mix(value * np.uint64(0x9FB21C651E98DF25) + np.minimum.reduceat(pair * odd, begin))
+                out.append(value)
+                of.append(np.arange(a, a + len(at)))
+        for p in range(1, SHORT + 1):
+            some = np.flatnonzero(size == p)
+            if len(some):
+                m = h[lo[some][:, None] + np.arange(p)]
+                for skip in range(p + 1):  # the last is the whole line
+                    rest = np.delete(m, skip, axis=1) if skip < p else m
+                    out.append(ngram_hash(rest.ravel(), rest.shape[1])[:: rest.shape[1]] if rest.shape[1] else np.zeros(len(some), np.uint64))
+                    of.append(some)
+        if not n:
+            return np.empty(0, np.int64), np.empty(0, np.int64)
+        of, out = np.concatenate(of), np.concatenate(out)
+        order = np.lexsort((out, of))
+        of, out = of[order], out[order]
+        new = np.concatenate([[True], (of[1:] != of[:-1]) | (out[1:] != out[:-1])])
+        return out[new].view(np.int64), np.bincount(of[new], minlength=n)
+
+
 def _keys(k: np.ndarray) -> pa.Array:
     return pa.FixedSizeBinaryArray.from_buffers(pa.binary(16), len(k), [None, pa.py_buffer(np.ascontiguousarray(k).tobytes())]).cast(pa.binary())
 
 
-def found(d: DataFrame, least: int) -> DataFrame:
-    """doc_id, line, key, blocks of every line of enough words."""
+def found(d: DataFrame, least: int, near: str = "blocks") -> DataFrame:
+    """doc_id, line, key, size, values of every line of enough words."""
+    if near not in ("blocks", "pairs"):
+        raise ValueError(f"near is {near}, not blocks or pairs")
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids, texts = b.column(0).to_numpy(zero_copy_only=False), [t or b"" for t in b.column(1).cast(pa.binary()).to_pylist()]
             for lo, hi in groups(texts):
                 x = Lines(texts[lo:hi], least)
-                blocks = pa.FixedSizeListArray.from_arrays(pa.array(x.simhash().ravel(), pa.int32()), BLOCKS).cast(pa.list_(pa.int32()))
-                yield pa.RecordBatch.from_arrays([pa.array(ids[lo:hi][x.doc], pa.int64()), pa.array(x.number, pa.int32()), _keys(x.key), blocks], names=["doc_id", "line", "key", "blocks"])
+                values, n = getattr(x, near)()
+                values = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32()), pa.array(values, pa.int64()))
+                yield pa.RecordBatch.from_arrays([pa.array(ids[lo:hi][x.doc], pa.int64()), pa.array(x.number, pa.int32()), _keys(x.key), pa.array(x.size(), pa.int32()), values], names=["doc_id", "line", "key", "size", "values"])
 
-    return d.where("doc_id is not null").mapInArrow(rows, "doc_id long, line int, key binary, blocks array<int>")
+    return d.where("doc_id is not null").mapInArrow(rows, "doc_id long, line int, key binary, size int, values array<long>")
 
 
 def _texts(d: DataFrame, firsts: DataFrame, least: int) -> DataFrame:
@@ -146,27 +203,32 @@ def _pairs(df: DataFrame) -> DataFrame:
     return df.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct()
 
 
-def duplicates(documents: DataFrame, least: int = 5, similarity: float = 0.8, key: str = "doc_id", text: str = "text") -> DataFrame:
+def duplicates(documents: DataFrame, least: int = 5, similarity: float = 0.8, key: str = "doc_id", text: str = "text", near: str = "blocks") -> DataFrame:
     """doc_id, removed (line numbers from 0), kept_in (documents that hold the lines that stay), of documents that lose lines."""
     d = documents.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    lines = written(found(d, least), "lines")
-    nodes = lines.groupBy("key").agg(F.min(F.struct("doc_id", "line")).alias("first"), F.count(F.lit(1)).alias("n"), F.first("blocks").alias("blocks"))
+    lines = written(found(d, least, near), "lines")
+    nodes = lines.groupBy("key").agg(F.min(F.struct("doc_id", "line")).alias("first"), F.count(F.lit(1)).alias("n"))
     nodes = written(nodes, "nodes")
-    blocks = nodes.select(F.posexplode("blocks").alias("block", "value"), "key")
-    pivots = blocks.groupBy("block", "value").agg(F.min("key").alias("pivot"), F.max("key").alias("other")).where("pivot < other").drop("other")
-    lists = written(blocks.join(pivots, ["block", "value"]), "lists")
+    # most values stand in one node: they go before anything wider is shuffled
+    values = lines.select(F.explode("values").alias("value"), "key", "size")
+    several = values.groupBy("value").agg(F.min(F.xxhash64("key")).alias("lo"), F.max(F.xxhash64("key")).alias("hi")).where("lo < hi").select("value")
+    listed = written(values.join(small(written(several, "several"), 16), "value").distinct(), "listed")
+    pivots = listed.groupBy("value").agg(F.min(F.struct("key", "size")).alias("pivot"))
+    lists = written(listed.join(pivots, "value"), "lists")
     texts = _texts(d, nodes.join(lists.select("key").distinct(), "key", "left_semi").select("key", "first.doc_id", "first.line"), least)
 
-    done = written(_pairs(lists.select(F.col("key").alias("a"), F.col("pivot").alias("b"))), "pairs")
+    # pairs whose sizes differ too much can't link
+    close = lambda a, b: F.abs(F.col(a) - F.col(b)) <= F.floor(F.lit(1 - similarity + 1e-9) * F.greatest(a, b))
+    done = written(_pairs(lists.where(close("size", "pivot.size")).select(F.col("key").alias("a"), F.col("pivot.key").alias("b"))), "pairs")
     links = linked(done, texts, similarity)
     root = written(components(links), "roots")
-    named = lists.join(root.withColumnRenamed("node", "key"), "key", "left").select("block", "value", "key", F.coalesce("root", "key").alias("root"))
-    mixed = named.groupBy("block", "value").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("block", "value")
-    named = written(named.join(mixed, ["block", "value"]), "mixed")
-    roots = named.select("block", "value", F.col("root").alias("other")).distinct()
-    left = named.join(roots, ["block", "value"]).where("root < other").withColumnRenamed("key", "a")
-    right = named.select("block", "value", F.col("root").alias("other"), F.col("key").alias("b"))
-    apart = _pairs(left.join(right, ["block", "value", "other"]).select("a", "b"))
+    named = lists.join(root.withColumnRenamed("node", "key"), "key", "left").select("value", "key", "size", F.coalesce("root", "key").alias("root"))
+    mixed = named.groupBy("value").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("value")
+    named = written(named.join(mixed, "value"), "mixed")
+    roots = named.select("value", F.col("root").alias("other")).distinct()
+    left = named.join(roots, "value").where("root < other").withColumnRenamed("key", "a")
+    right = named.select("value", F.col("root").alias("other"), F.col("key").alias("b"), F.col("size").alias("size_b"))
+    apart = _pairs(left.join(right, ["value", "other"]).where(close("size", "size_b")).select("a", "b"))
     links = links.unionByName(linked(apart.join(done, ["a", "b"], "left_anti"), texts, similarity))
 
     root = written(components(links), "roots")
@@ -177,9 +239,9 @@ def duplicates(documents: DataFrame, least: int = 5, similarity: float = 0.8, ke
     return gone.groupBy("doc_id").agg(F.array_sort(F.collect_set("line")).alias("removed"), F.array_sort(F.collect_set("stays.doc_id")).alias("kept_in"))
 
 
-def deduplicated(documents: DataFrame, least: int = 5, similarity: float = 0.8, key: str = "doc_id", text: str = "text") -> DataFrame:
+def deduplicated(documents: DataFrame, least: int = 5, similarity: float = 0.8, key: str = "doc_id", text: str = "text", near: str = "blocks") -> DataFrame:
     """All documents with ``text`` without its removed lines; adds removed_lines and kept_in (null where nothing goes)."""
-    gone = written(duplicates(documents, least, similarity, key, text), "removed").withColumnsRenamed({"doc_id": "_gone_id", "removed": "removed_lines"})
+    gone = written(duplicates(documents, least, similarity, key, text, near), "removed").withColumnsRenamed({"doc_id": "_gone_id", "removed": "removed_lines"})
     out = documents.join(small(gone, 100), documents[key] == gone["_gone_id"], "left").drop("_gone_id")
     rest = F.array_join(F.filter(F.split(F.col(text), "\n"), lambda _, i: ~F.array_contains("removed_lines", i)), "\n")
     return out.withColumn(text, F.when(F.col("removed_lines").isNull(), F.col(text)).otherwise(rest))
@@ -187,5 +249,5 @@ def deduplicated(documents: DataFrame, least: int = 5, similarity: float = 0.8,
 
 def op9_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    out = deduplicated(docs.withColumn("n_lines", F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).cast("long")))
+    out = deduplicated(docs.withColumn("n_lines", F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).cast("long")), near="pairs")
     return out.select("doc_id", "n_lines", F.coalesce(F.size("removed_lines"), F.lit(0)).cast("long").alias("n_removed"), F.sha2("text", 256).alias("text_sha256"), "kept_in")

@@ -1,5 +1,11 @@
-"""What op9 must not leave out: short lines, scripts without spaces."""
+"""What op9 must not leave out: short lines, scripts without spaces, near copies by edit similarity alone."""
 
+import random
+
+from pyspark.sql import functions as F
+from test_lines import distance
+
+import corpus_pipeline
 from loomgraph.llm import lines
 
 
@@ -22,3 +28,46 @@ def test_pieces():
     w = lines.Lines(["ab 版权c所é ไม 𠀀x".encode()], 1).words
     start, end = lines._pieces(w)
     assert [w.symbols[a:b].tobytes().decode() for a, b in zip(start, end, strict=True)] == ["ab", "版", "权", "c", "所", "é", *"ไม", "𠀀", "x"]
+
+
+def replaced(r, words, vocabulary, share):
+    out = list(words)
+    for i in r.sample(range(len(out)), max(1, int(len(out) * share))):
+        out[i] = r.choice(vocabulary)
+    return out
+
+
+def test_recall_of_one_word_in_eight():
+    # against edit similarity alone, whether or not values agree
+    r = random.Random(3)
+    vocabulary = ["".join(r.choice("abcdefghijklmnop") for _ in range(r.randrange(2, 9))) for _ in range(2000)]
+    for size in (5, 8, 12, 20, 30, 50):
+        made = [[r.choice(vocabulary) for _ in range(size)] for _ in range(150)]
+        both = [(" ".join(a), " ".join(replaced(r, a, vocabulary, 1 / 8))) for a in made]
+        both = [(a, b) for a, b in both if distance(a, b) <= int(0.2 * max(len(a), len(b)) + 1e-9)]
+        met = 0
+        for a, b in both:
+            values, n = lines.Lines([a.encode(), b.encode()], 5).pairs()
+            met += bool(set(values[: n[0]].tolist()) & set(values[n[0] :].tolist()))
+        assert len(both) > 60 and met >= (1 if size <= lines.SHORT else 0.95) * len(both), (size, met, len(both))
+
+
+def test_near_copies_go(spark):
+    text = "every one of these words stands in both of the lines but for a single one".split()
+    docs = [(i, " ".join([*text[:i], f"w{'xyz'[i % 3]}", *text[i + 1 :]])) for i in range(1, len(text))]
+    han = [(50, "版权所有未经许可不得转载本站内容"), (51, "版权所有未经许可不得转载本站文容")]
+    assert removed(spark, docs + han, near="pairs") == {(i, 0) for i, _ in docs[1:]} | {(51, 0)}
+
+
+def test_production_takes_pairs(spark, tmp_path):
+    a, b = "alpha beta gamma delta epsilon zeta eta theta", "alpha beta gamma delta epsilon omega eta theta"
+    df = spark.createDataFrame([(1, a), (2, b)], "doc_id long, text string")
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    assert {r["doc_id"]: r["n_removed"] for r in lines.op9_lines(spark, str(tmp_path)).collect()} == {1: 0, 2: 1}
+    docs = df.withColumn("n_chars", F.char_length("text").cast("long"))
+    assert [r["doc_id"] for r in corpus_pipeline.line_dedup(spark, docs, str(tmp_path)).collect()] == [1]
+
+
+def test_size_is_that_of_the_text():
+    x = lines.Lines(["a Bé, 版权 𠀀\n\nx--y 12 z ü".encode(), b"one two three"], 1)
+    assert x.size().tolist() == [len(x.text(i)) for i in range(3)]
