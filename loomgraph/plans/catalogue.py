@@ -205,6 +205,11 @@ def p_node_cross(g):
     return pt.node_pattern(g, r, "n", type="Nation", where={"key": {"$lt": 3}})
 
 
+@_query("SELECT 'region:' || r_regionkey AS r, 'nation:' || n_nationkey AS n FROM region, nation")
+def p_node_cross_all(g):
+    return pt.node_pattern(g, pt.node_pattern(g, None, "r", type="Region"), "n", type="Nation")
+
+
 @_query("SELECT 'part:' || l_partkey AS p, 'order:' || o_orderkey AS e FROM orders JOIN (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem) ON l_orderkey = o_orderkey WHERE o_custkey = 1")
 def p_edge_anchor_expand(g):
     return pt.edge_pattern(g, None, "e", ["customer:1", "?p"], relation="placed")
@@ -228,6 +233,14 @@ def p_two_wildcards(g):
     return pt.edge_pattern(g, None, "e", ["?x", "?y"], relation="placed", where={"id": {"$in": ids}})
 
 
+@_query("""WITH d AS (SELECT DISTINCT l_orderkey AS o, l_partkey AS p FROM lineitem)
+SELECT 'order:' || a.o AS e, 'part:' || a.p AS x, 'part:' || b.p AS y FROM d a JOIN d b ON a.o = b.o AND a.p <> b.p JOIN orders ON o_orderkey = a.o
+UNION ALL SELECT 'order:' || o, 'customer:' || o_custkey, 'part:' || p FROM d JOIN orders ON o_orderkey = o
+UNION ALL SELECT 'order:' || o, 'part:' || p, 'customer:' || o_custkey FROM d JOIN orders ON o_orderkey = o""")
+def p_two_wildcards_all(g):
+    return pt.edge_pattern(g, None, "e", ["?x", "?y"], relation="placed")
+
+
 @_query("SELECT DISTINCT 'supplier:' || l_suppkey AS s, 'nation:' || s_nationkey AS n FROM lineitem JOIN supplier ON s_suppkey = l_suppkey WHERE l_partkey = 5")
 def p_join_shared_var(g):
     b = pt.edge_pattern(g, None, "e", [{"node": "?s", "seq": 0}, "part:5"], relation="supplies")
@@ -266,6 +279,12 @@ def edge_hyperkey(g):
     return e.select("id", hyperkey(c("hypergraph_id"), c("relation"), c("members.node_id")).alias("hyperkey"))
 
 
+@_query("""WITH e AS (SELECT 'customer:' || c_custkey AS a, c_nationkey AS n FROM customer UNION ALL SELECT 'supplier:' || s_suppkey, s_nationkey FROM supplier)
+SELECT 'located-in:' || a AS id, substr(sha256('{"graph":"parties","members":["' || least(a, 'nation:' || n) || '","' || greatest(a, 'nation:' || n) || '"],"relation":"located-in"}'), 1, 32) AS hyperkey FROM e""")
+def edge_hyperkey_all(g):
+    return _edges(g, "parties").select("id", hyperkey(c("hypergraph_id"), c("relation"), c("members.node_id")).alias("hyperkey"))
+
+
 @_query("SELECT 'in-region:' || n_nationkey || '_inv' AS id, 'contains' AS relation, 'region:' || n_regionkey || ',nation:' || n_nationkey AS members, 'in-region:' || n_nationkey AS source_edge FROM nation")
 def inverse_edges(g):
     e = se.scoped(g.edges, "geo")
