@@ -190,9 +190,9 @@ def postings(d: DataFrame, rule: Rule, light: int, level: np.ndarray) -> DataFra
 
 
 def shared(p: DataFrame, rule: Rule, light: int) -> DataFrame:
-    """The postings whose token stands in several sets, with ``own``: so many prefix shingles of the set stand in no other.
+    """The postings whose token stands in several sets, with ``own``: so many prefix shingles of the set stand in no other prefix.
 
-    A set's overlap with any other is at most its size less ``own``.
+    They may stand in another set beyond its prefix, so ``own`` bounds no overlap; it only orders the pivots.
     """
     # most tokens stand in one set: they go before anything wider is shuffled
     several = written(p.groupBy("token").agg(F.min("name").alias("lo"), F.max("name").alias("hi")).where("lo < hi").select("token"), "shared")
@@ -290,16 +290,16 @@ def _across(lists: DataFrame, rep: DataFrame, of, rule: Rule, light: int) -> Dat
     Of two prefixes, the one that ends first in the common order has all its common shingles in the other. So the overlap
     is at most the common prefix shingles and the rest of that set.
     """
-    named = of(lists.join(rep.select("doc_id", "rep"), "doc_id").select("token", F.col("rep").alias("a"), "size", "weight", "own").distinct(), "a").withColumnRenamed("root_a", "root")
+    named = of(lists.join(rep.select("doc_id", "rep"), "doc_id").select("token", F.col("rep").alias("a"), "size", "weight").distinct(), "a").withColumnRenamed("root_a", "root")
     mixed = named.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("token")
     named = written(named.join(mixed, "token"), "mixed")
     overlap = rule.overlap_column("size", "size_b")
-    can = _sizes("size", "size_b", rule) & (overlap <= F.least(F.col("size") - F.col("own"), F.col("size_b") - F.col("own_b")))
-    kind = [F.col(c).alias(f"{c}_b") for c in ("root", "size", "own")]
+    can = _sizes("size", "size_b", rule)
+    kind = [F.col(c).alias(f"{c}_b") for c in ("root", "size")]
     # each member with the kinds of members it may link with, so that no others are met
     left = named.join(named.select("token", *kind).distinct(), "token").where((F.col("root") < F.col("root_b")) & can)
     right = named.select("token", *kind, F.col("a").alias("b"))
-    met = left.join(right, ["token", "root_b", "size_b", "own_b"]).groupBy("a", "b", "size", "size_b").agg(F.sum("weight").alias("n"))
+    met = left.join(right, ["token", "root_b", "size_b"]).groupBy("a", "b", "size", "size_b").agg(F.sum("weight").alias("n"))
     rest = F.greatest(F.col("size") - rule.prefix_column("size"), F.col("size_b") - rule.prefix_column("size_b"))
     heavy = F.greatest("size", "size_b") > light
     return met.where((F.col("n") >= F.least(F.lit(AGREE), overlap)) & (~heavy | (F.col("n") >= overlap - rest))).select("a", "b")
