@@ -56,7 +56,7 @@ STAGES = [
     ("packing", packed),
 ]
 
-ORACLE_SQL = None  # a fitted chain, SimHash and a tokenizer have no SQL; tests/llm holds each stage against brute force
+ORACLE_SQL = None  # a fitted chain, SimHash and a tokenizer have no SQL; of the stages only line_dedup has a test
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
