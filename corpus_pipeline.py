@@ -16,7 +16,7 @@ from loomgraph.llm.common import small, table, written
 def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """``docs`` but those whose doc_id is in ``ids``; rows without an id stay."""
     gone = written(ids.where("doc_id is not null").distinct(), "gone")
-    return docs.join(small(gone, 16), "doc_id", "left_anti")
+    return docs.join(small(gone), "doc_id", "left_anti")
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

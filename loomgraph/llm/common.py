@@ -8,8 +8,9 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, MapType, StringType, StructField, StructType
 
-#: A side is broadcast only when its measured rows times a stated row width stay below this; otherwise it is shuffled.
+#: A side is broadcast only when the measured size of its rows stays below this; otherwise it is shuffled.
 BROADCAST_BYTES = 64 << 20
 
 
@@ -33,14 +34,41 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def fits(df: DataFrame, row_bytes: int) -> bool:
-    """Whether a written table is small enough to broadcast."""
-    return df.count() * row_bytes <= BROADCAST_BYTES
+def _bytes(f: StructField) -> Column:
+    """Bytes that a row's value takes, measured where its width varies."""
+    c, t = F.col(f"`{f.name}`"), f.dataType
+    if isinstance(t, StringType | BinaryType):
+        return 16 + F.coalesce(F.octet_length(c), F.lit(0)).cast("long")
+    if isinstance(t, ArrayType) and not isinstance(t.elementType, StringType | BinaryType | ArrayType | StructType):
+        return 24 + 8 * F.greatest(F.coalesce(F.size(c), F.lit(0)), F.lit(0)).cast("long")
+    if isinstance(t, ArrayType | StructType | MapType):
+        return 24 + 2 * F.coalesce(F.octet_length(F.to_json(F.struct(c))), F.lit(0)).cast("long")
+    return F.lit(8).cast("long")
 
 
-def small(df: DataFrame, row_bytes: int) -> DataFrame:
-    """``df`` marked for broadcast if its counted size allows it, else as it is, for a shuffled join."""
-    return F.broadcast(df) if fits(df, row_bytes) else df
+def fits(df: DataFrame) -> bool:
+    """Whether a written table is small enough to broadcast, by the measured size of its rows."""
+    row = sum((_bytes(f) for f in df.schema.fields), F.lit(16))
+    return (df.agg(F.sum(row)).first()[0] or 0) <= BROADCAST_BYTES
+
+
+def small(df: DataFrame) -> DataFrame:
+    """A written table marked for broadcast if its measured size allows it, else as it is, for a shuffled join."""
+    return F.broadcast(df) if fits(df) else df
+
+
+def dealt(left: DataFrame, right: DataFrame, keys: DataFrame, on: str, by: str = "a", most: int = 1000) -> DataFrame:
+    """``left`` joined to ``right`` by ``on``; a key of over ``most`` rows is dealt out in parts, each with a copy of right's row.
+
+    ``keys`` is a written table with the keys of ``left``; ``by`` tells its rows apart.
+    """
+    hot = written(keys.groupBy(on).count().where(F.col("count") > most).select(on, F.ceil(F.col("count") / most).cast("int").alias("parts")), "hot")
+    if hot.isEmpty():
+        return left.join(right, on)
+    hot = small(hot)
+    left = left.join(hot, on, "left").withColumn("part", F.pmod(F.xxhash64(by), F.coalesce("parts", F.lit(1))).cast("int")).drop("parts")
+    right = right.join(hot, on, "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
+    return left.join(right, [on, "part"]).drop("part")
 
 
 def fold(key: str, folds: int) -> Column:

@@ -223,7 +223,7 @@ def linked(pairs: DataFrame, d: DataFrame, rule: Rule) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([a[i] for i in ok], pa.int64()), pa.array([b[i] for i in ok], pa.int64())], names=["a", "b"])
 
     ids = written(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "ids")
-    t = d.join(small(ids, 16), "doc_id", "left_semi")
+    t = d.join(small(ids), "doc_id", "left_semi")
     met = pairs.join(t.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a").join(t.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
     return written(met.select("a", "b", "text_a", "text_b").mapInArrow(rows, "a long, b long"), "linked")
 

@@ -21,10 +21,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small, table, written
+from .common import dealt, small, table, written
 from .components import components
 from .words import ALNUM, Words, groups, mix, ngram_hash, span_hash
 
@@ -38,6 +38,8 @@ _LANES = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).view("<u
 
 def _unspaced(s: np.ndarray) -> np.ndarray:
     """Where a character of a script without spaces begins: Han, kana, Thai, Lao, Tibetan, Burmese, Khmer."""
+    if s.max(initial=0) < 0xE0:
+        return np.empty(0, np.int64)
     n = np.append(s[1:], np.uint8(0))
     found = ((s >= 0xE4) & (s <= 0xE9)) | ((s == 0xE3) & (n >= 0x81)) | ((s == 0xE0) & (n >= 0xB8)) | ((s == 0xF0) & (n >= 0xA0) & (n <= 0xB3))
     return np.flatnonzero(found | ((s == 0xE1) & ((n <= 0x82) | (n == 0x9E) | (n == 0x9F))))
@@ -157,7 +159,7 @@ def _keys(k: np.ndarray) -> pa.Array:
 
 
 def found(d: DataFrame, least: int, near: str = "blocks") -> DataFrame:
-    """doc_id, line, key, size, values of every line of enough words."""
+    """doc_id, line, key, name (the key's first half), values of every line of enough words."""
     if near not in ("blocks", "pairs"):
         raise ValueError(f"near is {near}, not blocks or pairs")
 
@@ -168,35 +170,104 @@ def found(d: DataFrame, least: int, near: str = "blocks") -> DataFrame:
                 x = Lines(texts[lo:hi], least)
                 values, n = getattr(x, near)()
                 values = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32()), pa.array(values, pa.int64()))
-                yield pa.RecordBatch.from_arrays([pa.array(ids[lo:hi][x.doc], pa.int64()), pa.array(x.number, pa.int32()), _keys(x.key), pa.array(x.size(), pa.int32()), values], names=["doc_id", "line", "key", "size", "values"])
+                name = x.key.view(">i8")[::2].astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[lo:hi][x.doc], pa.int64()), pa.array(x.number, pa.int32()), _keys(x.key), pa.array(name), values], names=["doc_id", "line", "key", "name", "values"])
 
-    return d.where("doc_id is not null").mapInArrow(rows, "doc_id long, line int, key binary, size int, values array<long>")
+    return d.where("doc_id is not null").mapInArrow(rows, "doc_id long, line int, key binary, name long, values array<long>")
+
+
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ123456789", "abcdefghijklmnopqrstuvwxyz000000000"
 
 
 def _texts(d: DataFrame, firsts: DataFrame, least: int) -> DataFrame:
-    """key, words (normalised text) and size of the lines at the given occurrences (key, doc_id, line)."""
-    wanted = written(firsts.groupBy("doc_id").agg(F.collect_list("line").alias("lines")), "wanted")  # some lines of one document
+    """id, name, words (normalised text) and size of the lines at the given occurrences (id, name, key, doc_id, line)."""
+    wanted = written(firsts.groupBy("doc_id").agg(F.collect_list(F.struct("line", "id", "name", "key")).alias("asked")), "wanted")  # some lines of one document
+    split = small(wanted).join(d.select("doc_id", F.split("text", "\n").alias("split")), "doc_id").select("split", F.explode("asked").alias("w"))
+    words = F.btrim(F.regexp_replace(F.translate(F.get("split", F.col("w.line")), _UPPER, _LOWER), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", " "))
+    out = split.select("w.id", "w.name", "w.key", words.alias("words")).where("words is not null")
 
+    # rows that share an id have lines of their own under that number: only the one of this key is meant
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            asked, texts = b.column(1).to_pylist(), [t or b"" for t in b.column(0).cast(pa.binary()).to_pylist()]
+            texts = [t.encode() for t in b.column("words").to_pylist()]
             for lo, hi in groups(texts):
-                x = Lines(texts[lo:hi], least)
-                sets = [set(a) for a in asked[lo:hi]]
-                take = [i for i, (doc, n) in enumerate(zip(x.doc.tolist(), x.number.tolist(), strict=True)) if n in sets[doc]]
-                yield pa.RecordBatch.from_arrays([_keys(x.key[take]), pa.array([x.text(i) for i in take], pa.string())], names=["key", "words"])
-
-    t = d.join(small(wanted, 64), "doc_id").select("text", "lines").mapInArrow(rows, "key binary, words string")
-    return written(t.dropDuplicates(["key"]).withColumn("size", F.char_length("words")), "lines")
+                x = Lines(texts[lo:hi], 1)
+                same = np.zeros(hi - lo, bool)
+                asked = np.array([k for k in b.column("key").slice(lo, hi - lo).to_pylist()], "V16")
+                same[x.doc] = x.key == asked[x.doc]
+                yield b.slice(lo, hi - lo).filter(pa.array(same)).select(["id", "name", "words"])
+
+    t = out.mapInArrow(rows, "id long, name long, words string")
+    return written(t.dropDuplicates(["id"]).withColumn("size", F.char_length("words")), "texts")
+
+
+def _same(a: str, b: str) -> int:
+    """Characters that the beginnings have in common."""
+    lo, hi = 0, min(len(a), len(b))
+    if a[:hi] == b[:hi]:
+        return hi
+    while hi - lo > 1:
+        mid = (lo + hi) // 2
+        lo, hi = (mid, hi) if a[lo:mid] == b[lo:mid] else (lo, mid)
+    return lo
+
+
+def within(a: str, b: str, most: int) -> bool:
+    """Whether the edit distance is at most ``most``: bit-parallel, a column of the table as one integer.
+
+    Common beginnings and ends go first. What is left of n characters takes n steps over n bits.
+    """
+    k = _same(a, b)
+    a, b = a[k:], b[k:]
+    k = _same(a[::-1], b[::-1])
+    a, b = sorted((a[: len(a) - k], b[: len(b) - k]), key=len)
+    if len(b) - len(a) > most:
+        return False
+    if len(b) <= most:
+        return True
+    if not a:
+        return False
+    at: dict[str, int] = {}
+    for i, c in enumerate(a):
+        at[c] = at.get(c, 0) | 1 << i
+    full, last = (1 << len(a)) - 1, 1 << len(a) - 1
+    up, down, score, left = full, 0, len(a), len(b)
+    for c in b:
+        x = at.get(c, 0) | down
+        zero = (((x & up) + up) ^ up | x) & full
+        plus, minus = down | full ^ (up | zero), up & zero
+        left -= 1
+        if plus & last:
+            score += 1
+        elif minus & last:
+            score -= 1
+        if score - left > most:
+            return False
+        plus = plus << 1 | 1
+        down = plus & zero
+        up = (minus << 1 | full ^ (full & plus | zero)) & full
+    return score <= most
+
+
+def _most(a: str, b: str, similarity: float) -> Column:
+    return F.floor(F.lit(1 - similarity + 1e-9) * F.greatest(a, b)).cast("int")
 
 
 def linked(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """Those of the pairs whose edit distance is at most (1 - similarity) of the longer line."""
-    side = lambda c: texts.select(F.col("key").alias(c), F.col("words").alias(f"words_{c}"), F.col("size").alias(f"size_{c}"))
-    m = pairs.join(side("a"), "a").join(side("b"), "b")
-    m = m.withColumn("most", F.floor(F.lit(1 - similarity + 1e-9) * F.greatest("size_a", "size_b")).cast("int"))
-    m = m.where((F.abs(F.col("size_a") - F.col("size_b")) <= F.col("most")) & F.expr("levenshtein(words_a, words_b, most) >= 0"))
-    return written(m.select("a", "b"), "linked")
+    """Those of the written pairs whose edit distance is at most (1 - similarity) of the longer line.
+
+    A line that meets very many others is dealt out in parts, each with a copy of its text.
+    """
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y, most = (batch.column(c).to_pylist() for c in ("words_a", "words_b", "most"))
+            yield batch.select(["a", "b"]).filter(pa.array([within(p, q, m) for p, q, m in zip(x, y, most, strict=True)], pa.bool_()))
+
+    side = lambda c: texts.select(F.col("id").alias(c), F.col("words").alias(f"words_{c}"), F.col("size").alias(f"size_{c}"))
+    m = dealt(pairs.join(side("a"), "a"), side("b"), pairs, "b")
+    m = m.withColumn("most", _most("size_a", "size_b", similarity)).where(F.abs(F.col("size_a") - F.col("size_b")) <= F.col("most"))
+    return written(m.select("a", "b", "words_a", "words_b", "most").mapInArrow(rows, "a long, b long"), "linked")
 
 
 def _pairs(df: DataFrame) -> DataFrame:
@@ -207,42 +278,53 @@ def duplicates(documents: DataFrame, least: int = 5, similarity: float = 0.8, ke
     """doc_id, removed (line numbers from 0), kept_in (documents that hold the lines that stay), of documents that lose lines."""
     d = documents.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     lines = written(found(d, least, near), "lines")
-    nodes = lines.groupBy("key").agg(F.min(F.struct("doc_id", "line")).alias("first"), F.count(F.lit(1)).alias("n"))
-    nodes = written(nodes, "nodes")
-    # most values stand in one node: they go before anything wider is shuffled
-    values = lines.select(F.explode("values").alias("value"), "key", "size")
-    several = values.groupBy("value").agg(F.min(F.xxhash64("key")).alias("lo"), F.max(F.xxhash64("key")).alias("hi")).where("lo < hi").select("value")
-    listed = written(values.join(small(written(several, "several"), 16), "value").distinct(), "listed")
-    pivots = listed.groupBy("value").agg(F.min(F.struct("key", "size")).alias("pivot"))
-    lists = written(listed.join(pivots, "value"), "lists")
-    texts = _texts(d, nodes.join(lists.select("key").distinct(), "key", "left_semi").select("key", "first.doc_id", "first.line"), least)
-
-    # pairs whose sizes differ too much can't link
-    close = lambda a, b: F.abs(F.col(a) - F.col(b)) <= F.floor(F.lit(1 - similarity + 1e-9) * F.greatest(a, b))
-    done = written(_pairs(lists.where(close("size", "pivot.size")).select(F.col("key").alias("a"), F.col("pivot.key").alias("b"))), "pairs")
+    nodes = lines.groupBy("key", "name").agg(F.min(F.struct("doc_id", "line")).alias("first"), F.count(F.lit(1)).alias("n"))
+    nodes = written(nodes.withColumn("id", F.monotonically_increasing_id()), "nodes")
+    # most values stand in one node: they go before anything wider is shuffled. The smallest name of a list is its pivot
+    values = lines.select(F.explode("values").alias("value"), "name")
+    several = values.groupBy("value").agg(F.min("name").alias("pivot"), F.max("name").alias("last")).where("pivot < last").select("value", "pivot")
+    listed = written(values.join(small(written(several, "several")), "value").distinct(), "listed")
+    names = written(listed.select("name").distinct(), "names")
+    near_nodes = nodes.join(small(names), "name", "left_semi")
+    texts = _texts(d, near_nodes.select("id", "name", "key", "first.doc_id", "first.line"), least)
+    of = lambda c: texts.select(F.col("name").alias(f"name_{c}"), F.col("id").alias(c), F.col("size").alias(f"size_{c}"))
+    # names are half keys: two nodes of one name both stand for it
+    lists = written(listed.select("value", "pivot", F.col("name").alias("name_a")).join(of("a"), "name_a").drop("name_a"), "lists")
+
+    # each node with the pivot it meets most often, of those whose sizes allow a link; then with the others that are still apart
+    close = F.abs(F.col("size_a") - F.col("size_b")) <= _most("size_a", "size_b", similarity)
+    star = lists.groupBy("a", "size_a", F.col("pivot").alias("name_b")).agg(F.count(F.lit(1)).alias("n"))
+    star = written(star.join(of("b"), "name_b").where(close & (F.col("a") != F.col("b"))).select("a", "b", "n"), "star")
+    done = written(_pairs(star.groupBy("a").agg(F.max(F.struct("n", "b")).alias("m")).select("a", "m.b")), "pairs")
     links = linked(done, texts, similarity)
-    root = written(components(links), "roots")
-    named = lists.join(root.withColumnRenamed("node", "key"), "key", "left").select("value", "key", "size", F.coalesce("root", "key").alias("root"))
-    mixed = named.groupBy("value").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("value")
-    named = written(named.join(mixed, "value"), "mixed")
-    roots = named.select("value", F.col("root").alias("other")).distinct()
-    left = named.join(roots, "value").where("root < other").withColumnRenamed("key", "a")
-    right = named.select("value", F.col("root").alias("other"), F.col("key").alias("b"), F.col("size").alias("size_b"))
-    apart = _pairs(left.join(right, ["value", "other"]).where(close("size", "size_b")).select("a", "b"))
-    links = links.unionByName(linked(apart.join(done, ["a", "b"], "left_anti"), texts, similarity))
-
-    root = written(components(links), "roots")
-    grouped = nodes.join(root.withColumnRenamed("node", "key"), "key", "left").select("key", "first", "n", F.coalesce("root", "key").alias("root"))
-    stays = grouped.groupBy("root").agg(F.min("first").alias("stays"), F.sum("n").alias("n")).where("n > 1").drop("n")
-    gone = lines.select("doc_id", "line", "key").join(grouped.select("key", "root").join(stays, "root").select("key", "stays"), "key")
+    for step in ("pivots", "lists"):
+        root = written(components(links), "roots")
+        at = lambda df, c: df.join(root.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}")), c, "left").withColumn(f"root_{c}", F.coalesce(f"root_{c}", c))  # noqa: B023, E731
+        if step == "pivots":
+            apart = _pairs(at(at(star, "a"), "b").where("root_a <> root_b"))
+        else:
+            named = at(lists.drop("pivot"), "a")
+            mixed = named.groupBy("value").agg(F.min("root_a").alias("lo"), F.max("root_a").alias("hi")).where("lo < hi").select("value")
+            named = written(named.join(mixed, "value"), "mixed")
+            apart = _pairs(named.join(named.withColumnsRenamed({"a": "b", "size_a": "size_b", "root_a": "root_b"}), "value").where((F.col("root_a") < F.col("root_b")) & close))
+        more = written(apart.join(done, ["a", "b"], "left_anti"), "pairs")
+        links = links.unionByName(linked(more, texts, similarity))
+        done = done.unionByName(more)
+
+    root = components(links).select(F.col("node").alias("id"), "root")
+    grouped = written(nodes.join(root, "id", "left").where("root is not null or n > 1").select("key", "first", F.coalesce("root", "id").alias("root")), "grouped")
+    stays = grouped.groupBy("root").agg(F.min("first").alias("stays"))
+    stays = written(grouped.join(stays, "root").select("key", "stays"), "stays")
+    gone = lines.select("doc_id", "line", "key").join(small(stays), "key")
     gone = gone.where((F.col("doc_id") != F.col("stays.doc_id")) | (F.col("line") != F.col("stays.line")))
     return gone.groupBy("doc_id").agg(F.array_sort(F.collect_set("line")).alias("removed"), F.array_sort(F.collect_set("stays.doc_id")).alias("kept_in"))
 
 
 def deduplicated(documents: DataFrame, least: int = 5, similarity: float = 0.8, key: str = "doc_id", text: str = "text", near: str = "blocks") -> DataFrame:
-    """All documents with ``text`` without its removed lines; adds removed_lines and kept_in (null where nothing goes)."""
+    """All documents with ``text`` without its removed lines; removed_lines and kept_in (null where nothing goes) are added, or replace columns of these names."""
+    documents = documents.drop("removed_lines", "kept_in")
     gone = written(duplicates(documents, least, similarity, key, text, near), "removed").withColumnsRenamed({"doc_id": "_gone_id", "removed": "removed_lines"})
-    out = documents.join(small(gone, 100), documents[key] == gone["_gone_id"], "left").drop("_gone_id")
+    out = documents.join(small(gone), documents[key] == gone["_gone_id"], "left").drop("_gone_id")
     rest = F.array_join(F.filter(F.split(F.col(text), "\n"), lambda _, i: ~F.array_contains("removed_lines", i)), "\n")
     return out.withColumn(text, F.when(F.col("removed_lines").isNull(), F.col(text)).otherwise(rest))
 

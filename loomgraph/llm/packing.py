@@ -109,7 +109,7 @@ def packed(pieces: DataFrame, size: int) -> DataFrame:
     before = per.select("length", "part", (F.sum("n").over(Window.partitionBy("length").orderBy("part")) - F.col("n")).alias("before"))
     rank = F.row_number().over(Window.partitionBy("length", "part").orderBy("doc_id", "piece", "ids_crc32")) - 1
     numbered = p.withColumn("rank", rank).join(before, ["length", "part"]).withColumn("rank", F.col("rank") + F.col("before"))
-    placed = numbered.join(small(slots, 48), (numbered.length == slots.length) & (F.col("rank") >= F.col("lo")) & (F.col("rank") < F.col("hi"))).drop(slots.length)
+    placed = numbered.join(small(slots), (numbered.length == slots.length) & (F.col("rank") >= F.col("lo")) & (F.col("rank") < F.col("hi"))).drop(slots.length)
     k = F.col("rank") - F.col("lo")
     placed = placed.withColumn("sequence_id", F.col("first_sequence") + F.pmod(k, F.col("times"))).withColumn("offset", F.col("first_offset") + F.floor(k / F.col("times")) * F.col("length"))
     return placed.select(*pieces.columns, "sequence_id", "offset")

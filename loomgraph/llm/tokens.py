@@ -155,7 +155,7 @@ def read(spark: SparkSession, path: str, ids: bool = True) -> DataFrame:
                     out["ids"] = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(flat.astype(np.int64)))
                 yield pa.RecordBatch.from_pydict(out)
 
-    joined = files.join(small(shards, 16), "shard").select("shard_start", *[c.split()[0] for c in _FILE.split(", ") if c.split()[0] not in ("shard", "run")])
+    joined = files.join(small(shards), "shard").select("shard_start", *[c.split()[0] for c in _FILE.split(", ") if c.split()[0] not in ("shard", "run")])
     return joined.mapInArrow(docs, "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<long>" * ids)
 
 
