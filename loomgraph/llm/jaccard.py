@@ -6,8 +6,11 @@ come first in a common order, rare ones before frequent ones; light sets near th
 boundary is the size up to which listing subsets costs fewer rows than scanning lists.
 
 Frequencies come from a sketch over all documents, a fixed number of counters; they only order the shingles, so results
-do not depend on them. Equal sets are one node. Within a list, members are first compared with one pivot, then only with
-members of other components, so a group of copies costs in proportion to its size, and no link between components is lost.
+do not depend on them. Equal sets are one node. Within a list, members are first compared with a few pivots. Lists of up to
+``LIST`` members are then compared member by member, where components differ. A longer list gets a centre: each member is
+described by the shingles in which it differs from the centre. Two members link only if they have so many of these in common
+that few of them need be listed anew, rare ones first (see ``_divided``). So neither a group of copies nor one of near
+misses costs with the square of its size, and no link between components is lost.
 
 Defined cases: no words: size 0, a component of its own. Null id: component null. Rows that share an id are one document
 and link as any of them does. Ties: the smallest id names a component. Empty table: no rows. Other columns are ignored.
@@ -21,10 +24,10 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import small, table, written
+from .common import dealt, small, table, written
 from .components import components
 from .words import NOT_SPACE, Words, groups, mix, shingle_sets
 
@@ -36,6 +39,10 @@ LIGHTEST = 40
 AGREE = 4
 #: So many members of a list are those that the others are compared with first; half of them have the fewest rare shingles.
 PIVOTS = 6
+#: Longer lists are divided by centres, so often at most; what is still longer then is compared member by member.
+LIST, LEVELS = 64, 4
+#: Weight of a shingle in which two sets differ from a centre: it stands alone for a common prefix.
+ENOUGH = 1 << 20
 
 
 class Rule:
@@ -61,6 +68,16 @@ class Rule:
     def prefix_column(self, size: str) -> Column:
         return F.least(F.col(size), F.col(size) - F.ceil(F.col(size) * self.percent / 100) + AGREE)
 
+    def difference(self, both: Column) -> Column:
+        """Upper bound of the shingles in which linked sets of ``both`` shingles together differ."""
+        return F.floor((100 - self.percent) * both / (100 + self.percent))
+
+    def radii(self, size: int) -> tuple[float, float]:
+        """Members that differ from a centre in no more than the first can't link with those that differ in more than the second."""
+        p = self.percent / 100
+        inner = 3 * (1 - p)
+        return inner * size, (inner + (1 + inner) * (1 - p) / p) * size
+
     def overlap_column(self, a: str, b: str) -> Column:
         return F.ceil(self.percent * (F.col(a) + F.col(b)) / (100 + self.percent))
 
@@ -125,7 +142,9 @@ def sketch(counters: DataFrame) -> np.ndarray:
         if row is not None:
             yield made()
 
-    parts = counters.repartition("row").sortWithinPartitions("row").mapInArrow(summed, "row int, counts binary").collect()
+    # first in sixteen parts of each row, so that no task gets one from every task
+    some = counters.repartition("row", F.pmod(F.xxhash64("counts"), F.lit(16))).sortWithinPartitions("row").mapInArrow(summed, "row int, counts binary")
+    parts = some.withColumn("width", F.lit(8)).repartition("row").sortWithinPartitions("row").mapInArrow(summed, "row int, counts binary").collect()
     out = np.zeros(COUNTERS, np.uint64)
     for r in parts:
         out[r["row"] * ROW : (r["row"] + 1) * ROW] = np.frombuffer(r["counts"], "<u8")
@@ -204,28 +223,57 @@ def shared(p: DataFrame, rule: Rule, light: int) -> DataFrame:
     return written(met.join(listed.select("doc_id", "size", F.when(has_prefix, own).otherwise(0).cast("int").alias("own")), ["doc_id", "size"]), "postings")
 
 
+def _met(pairs: DataFrame, d: DataFrame) -> DataFrame:
+    """The written pairs (a, b) with their texts; ``d`` has no repeated rows. A much-met b is dealt out in parts."""
+    ids = written(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "ids")
+    t = d.join(small(ids), "doc_id", "left_semi")
+    side = lambda c: t.select(F.col("doc_id").alias(c), F.col("text").alias(f"text_{c}"))
+    return dealt(pairs.select("a", "b").join(side("a"), "a"), side("b"), pairs, "b").select("a", "b", "text_a", "text_b")
+
+
+def _set_pairs(batches: Iterator[pa.RecordBatch], rule: Rule) -> Iterator[list[tuple[int, int, np.ndarray, np.ndarray]]]:
+    """a, b and their sets, of rows as ``_met`` makes them."""
+    for batch in batches:
+        a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
+        left, right = ([(t or b"").lower() for t in batch.column(c).cast(pa.binary()).to_pylist()] for c in ("text_a", "text_b"))
+        for lo, hi in groups([x + y for x, y in zip(left, right, strict=True)]):
+            texts = list(dict.fromkeys(left[lo:hi] + right[lo:hi]))
+            sets = dict(zip(texts, shingle_sets(Words(texts, NOT_SPACE), rule.n), strict=True))
+            yield [(a[i], b[i], sets[left[i]], sets[right[i]]) for i in range(lo, hi)]
+
+
 def linked(pairs: DataFrame, d: DataFrame, rule: Rule) -> DataFrame:
     """Those of the written pairs (a, b) whose whole texts link."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
-            left, right = ([(t or b"").lower() for t in batch.column(c).cast(pa.binary()).to_pylist()] for c in ("text_a", "text_b"))
-            for lo, hi in groups([x + y for x, y in zip(left, right, strict=True)]):
-                texts = list(dict.fromkeys(left[lo:hi] + right[lo:hi]))
-                sets = dict(zip(texts, shingle_sets(Words(texts, NOT_SPACE), rule.n), strict=True))
-                ok = []
-                for i in range(lo, hi):
-                    x, y = sets[left[i]], sets[right[i]]
-                    both = len(np.intersect1d(x, y, assume_unique=True))
-                    if both and 100 * both >= rule.percent * (len(x) + len(y) - both):
-                        ok.append(i)
-                yield pa.RecordBatch.from_arrays([pa.array([a[i] for i in ok], pa.int64()), pa.array([b[i] for i in ok], pa.int64())], names=["a", "b"])
+        for some in _set_pairs(batches, rule):
+            ok = []
+            for a, b, x, y in some:
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                if both and 100 * both >= rule.percent * (len(x) + len(y) - both):
+                    ok.append((a, b))
+            yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in ok], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+    return written(_met(pairs, d).mapInArrow(rows, "a long, b long"), "linked")
 
-    ids = written(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "ids")
-    t = d.join(small(ids), "doc_id", "left_semi")
-    met = pairs.join(t.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a").join(t.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
-    return written(met.select("a", "b", "text_a", "text_b").mapInArrow(rows, "a long, b long"), "linked")
+
+def differences(pairs: DataFrame, d: DataFrame, rule: Rule) -> DataFrame:
+    """Of each member a and its centre b: their sizes, in how many shingles they differ, whether they link, and in which they differ where a is near."""
+    kinds = [("a", pa.int64()), ("b", pa.int64()), ("size", pa.int32()), ("size_b", pa.int32()), ("dist", pa.int32()), ("linked", pa.bool_()), ("tokens", pa.list_(pa.int64()))]
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for some in _set_pairs(batches, rule):
+            out: list[list] = [[] for _ in kinds]
+            for a, b, x, y in some:
+                apart = np.setxor1d(x, y, assume_unique=True)
+                both = (len(x) + len(y) - len(apart)) // 2
+                near = len(apart) <= rule.radii(len(y))[1]
+                values = (a, b, len(x), len(y), len(apart), bool(both) and 100 * both >= rule.percent * (both + len(apart)), _signed(apart).tolist() if near else None)
+                for c, v in zip(out, values, strict=True):
+                    c.append(v)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(out, kinds, strict=True)], names=[n for n, _ in kinds])
+
+    return written(_met(pairs, d).mapInArrow(rows, "a long, b long, size int, size_b int, dist int, linked boolean, tokens array<long>"), "differences")
 
 
 def _pairs(found: DataFrame) -> DataFrame:
@@ -239,8 +287,14 @@ def joined(documents: DataFrame, n: int = 5, percent: int = 80, key: str = "doc_
     sets, counters = measured(d, rule)
     # equal sets are one node, named by its smallest id
     equal = sets.where("n_shingles > 0").groupBy("sum_a", "sum_b", "n_shingles").agg(F.min("doc_id").alias("rep"))
-    member = written(sets.join(equal, ["sum_a", "sum_b", "n_shingles"], "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id")).alias("rep")), "member")
-    rep = member.where("doc_id is not null").groupBy("doc_id").agg(F.min("rep").alias("rep"), F.min("n_shingles").alias("least"), F.max("n_shingles").alias("most"))
+    same = F.when(F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id")).alias("rep")
+    member = written(sets.join(equal, ["sum_a", "sum_b", "n_shingles"], "left").select("doc_id", "n_shingles", "sum_a", same), "member")
+    rep = member.where("doc_id is not null").groupBy("doc_id").agg(F.min("rep").alias("rep"), F.min("n_shingles").alias("least"), F.max("n_shingles").alias("most"), (F.min("sum_a") != F.max("sum_a")).alias("several"), F.count(F.lit(1)).alias("rows"))
+    # an id of several sets stands for itself, and is linked with the nodes of its sets
+    rep = written(rep.withColumn("rep", F.when(F.col("several"), F.col("doc_id")).otherwise(F.col("rep"))), "rep")
+    own = written(member.join(rep.where("several").select("doc_id"), "doc_id").where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b")).distinct(), "own")
+    if not rep.where("rows > 1").isEmpty():
+        d = d.dropDuplicates()
 
     counts = sketch(counters).astype(np.float64)
     total = max(1.0, counts.sum())
@@ -264,14 +318,22 @@ def joined(documents: DataFrame, n: int = 5, percent: int = 80, key: str = "doc_
     star = written(star.where("a <> b").groupBy("a", "b").agg(F.max("n").alias("n")), "star")
     # first each node with the pivot it meets most often, then with the others that are still apart
     done = written(_pairs(star.groupBy("a").agg(F.max(F.struct("n", "b")).alias("m")).select("a", "m.b")), "pairs")
-    links = linked(done, d, rule)
-    for step in ("pivots", "components"):
-        root = written(components(links), "roots")
-        of = lambda df, c: df.join(root.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}")), c, "left").withColumn(f"root_{c}", F.coalesce(f"root_{c}", c))  # noqa: B023, E731
+    links = linked(done, d, rule).unionByName(own)
+    for step in ("pivots", "lists"):
+        of = _roots(links)
         if step == "pivots":
             apart = of(of(_pairs(star), "a"), "b").where("root_a <> root_b").select("a", "b")
         else:
-            apart = _pairs(_across(p, rep, of, rule, light))
+            lists = p.join(rep.select("doc_id", F.col("rep").alias("node")), "doc_id").select("token", F.col("node").alias("doc_id"), "size", "weight", "own").distinct()
+            odd = rep.where("several").select("doc_id")
+            several = written(lists.join(odd, "doc_id", "left_semi"), "several")
+            if several.isEmpty():
+                few, links, of = _divided(lists, links, of, d, rule)
+                apart = _across(few, None, of, rule, light)
+            else:  # ids of several sets have no one set to tell differences by: they meet all members of their lists
+                few, links, of = _divided(lists.join(odd, "doc_id", "left_anti"), links, of, d, rule)
+                apart = _across(few, None, of, rule, light).union(several.select("token", F.col("doc_id").alias("a")).join(lists.select("token", F.col("doc_id").alias("b")), "token").select("a", "b"))
+            apart = _pairs(apart)
         more = written(apart.join(done, ["a", "b"], "left_anti"), "pairs")
         links = links.unionByName(linked(more, d, rule))
         done = done.unionByName(more)
@@ -280,26 +342,86 @@ def joined(documents: DataFrame, n: int = 5, percent: int = 80, key: str = "doc_
     return out.select("doc_id", "n_shingles", F.coalesce("root", "rep").alias("component_id"))
 
 
+def _roots(links: DataFrame):
+    """A function that adds root_c, the component so far, to a frame with a node c."""
+    root = written(components(links), "roots")
+    return lambda df, c: df.join(root.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}")), c, "left").withColumn(f"root_{c}", F.coalesce(f"root_{c}", c))
+
+
+def _divided(lists: DataFrame, links: DataFrame, of, d: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame, object]:
+    """Lists (token, doc_id, size, weight, own) with long ones divided; links with those found; components.
+
+    A long list gets a centre c. D(x) are the shingles in which x differs from c. Two sets link if they differ in at most t of
+    their shingles, which is the size of D(x) and D(y) less twice what these have in common. Members that differ from c
+    in much stay in the list, without c; for those that differ in little, D(x) is listed: shingles that differ in members
+    of several components, rare ones first, as many as two members that link can't miss. ``dist`` is the size of D(x), ``few``
+    how many of its shingles stand in several components. So a pair is decided in a divided list, or all that it has in
+    common is still listed.
+    """
+    rows = lists.select("token", "doc_id", "size", "weight", "own", F.lit(None).cast("int").alias("dist"), F.lit(None).cast("int").alias("few"))
+    columns = rows.columns
+    for level in range(LEVELS):
+        named = of(rows.withColumnRenamed("doc_id", "a"), "a").withColumnRenamed("a", "doc_id")
+        first = F.shiftleft(F.col("own").cast("long"), 40) + F.xxhash64("doc_id", F.lit(level)).bitwiseAND((1 << 40) - 1)
+        mixed = named.groupBy("token").agg(F.min("root_a").alias("lo"), F.max("root_a").alias("hi"), F.count(F.lit(1)).alias("n"), F.min_by("doc_id", first).alias("centre")).where("lo < hi")
+        mixed = written(mixed.select("token", "n", "centre"), "mixed")
+        rows = written(named.select(columns).join(small(mixed), "token"), "lists")
+        long = rows.where((F.col("n") > LIST) & (F.col("doc_id") != F.col("centre")))
+        pairs = written(long.select(F.col("doc_id").alias("a"), F.col("centre").alias("b")).distinct(), "pairs")
+        if pairs.isEmpty():
+            break
+        diff = differences(pairs, d, rule)
+        found = diff.where("linked").select("a", "b")
+        if not found.isEmpty():
+            links = links.unionByName(found)
+            of = _roots(links)
+        inner, _ = rule.radii(1)
+        beyond = diff.where(F.col("dist") > inner * F.col("size_b")).select(F.col("a").alias("doc_id"), F.col("b").alias("centre"))
+        far = long.join(small(written(beyond, "beyond")), ["doc_id", "centre"]).select(columns)
+        rows = written(rows.where(F.col("n") <= LIST).select(columns).unionByName(far).unionByName(_anew(diff, of, rule).select(columns)), "lists")
+    return rows.select(columns), links, of
+
+
+def _anew(diff: DataFrame, of, rule: Rule) -> DataFrame:
+    """The lists of the shingles in which near members differ from their centre."""
+    near = of(of(diff.where("tokens is not null"), "a"), "b")
+    out = F.col("root_a") != F.col("root_b")
+    least = near.groupBy("b").agg(*[f(F.when(c, F.col(v))).alias(f"{v}_{k}") for k, c in (("any", F.lit(True)), ("out", out)) for v, f in (("dist", F.min), ("size", F.max))])
+    each = near.select("a", "b", "root_a", out.alias("out"), "size", "dist", F.explode("tokens").alias("shingle"))
+    several = each.groupBy("b", "shingle").agg(F.min("root_a").alias("lo"), F.max("root_a").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo < hi").select("b", "shingle", "n")
+    each = each.join(small(written(several, "several")), ["b", "shingle"]).join(least, "b")
+    # members of the centre's component only need those outside it
+    dist, size = (F.when(F.col("out"), F.col(f"{v}_any")).otherwise(F.col(f"{v}_out")) for v in ("dist", "size"))
+    most = F.least(size, F.floor(F.col("size") * 100 / rule.percent))
+    common = F.greatest(F.lit(1), F.ceil((F.col("dist") + dist - rule.difference(F.col("size") + most)) / 2))
+    by = Window.partitionBy("b", "a")
+    each = each.withColumn("few", F.count(F.lit(1)).over(by).cast("int")).withColumn("rank", F.row_number().over(by.orderBy("n", "shingle")))
+    return each.where(F.col("rank") <= F.col("few") - common + 1).select(F.xxhash64("b", "shingle").alias("token"), F.col("a").alias("doc_id"), "size", F.lit(ENOUGH).alias("weight"), F.lit(0).alias("own"), "dist", "few")
+
+
 def _sizes(a: str, b: str, rule: Rule) -> Column:
     return 100 * F.least(a, b) >= rule.percent * F.greatest(a, b)
 
 
-def _across(lists: DataFrame, rep: DataFrame, of, rule: Rule, light: int) -> DataFrame:
+def _across(lists: DataFrame, rep: DataFrame | None, of, rule: Rule, light: int) -> DataFrame:
     """Pairs in different components whose sizes allow a link and that share enough tokens.
 
     Of two prefixes, the one that ends first in the common order has all its common shingles in the other. So the overlap
     is at most the common prefix shingles and the rest of that set.
     """
-    named = of(lists.join(rep.select("doc_id", "rep"), "doc_id").select("token", F.col("rep").alias("a"), "size", "weight").distinct(), "a").withColumnRenamed("root_a", "root")
+    if rep is not None:
+        lists = lists.join(rep.select("doc_id", "rep"), "doc_id").select("token", F.col("rep").alias("doc_id"), "size", "weight").distinct()
+    if "dist" not in lists.columns:
+        lists = lists.select("*", F.lit(None).cast("int").alias("dist"), F.lit(None).cast("int").alias("few"))
+    named = of(lists.select("token", F.col("doc_id").alias("a"), "size", "weight", "dist", "few"), "a").withColumnRenamed("root_a", "root")
     mixed = named.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("token")
-    named = written(named.join(mixed, "token"), "mixed")
+    named = written(named.join(small(written(mixed, "mixed")), "token"), "mixed")
     overlap = rule.overlap_column("size", "size_b")
-    can = _sizes("size", "size_b", rule)
-    kind = [F.col(c).alias(f"{c}_b") for c in ("root", "size")]
-    # each member with the kinds of members it may link with, so that no others are met
-    left = named.join(named.select("token", *kind).distinct(), "token").where((F.col("root") < F.col("root_b")) & can)
-    right = named.select("token", *kind, F.col("a").alias("b"))
-    met = left.join(right, ["token", "root_b", "size_b"]).groupBy("a", "b", "size", "size_b").agg(F.sum("weight").alias("n"))
+    # what two members differ in from their centre must have enough in common
+    common = F.ceil((F.col("dist") + F.col("dist_b") - rule.difference(F.col("size") + F.col("size_b"))) / 2)
+    can = (F.col("root") < F.col("root_b")) & _sizes("size", "size_b", rule) & F.coalesce(common <= F.least("few", "few_b"), F.lit(True))
+    right = named.select("token", F.col("a").alias("b"), *[F.col(c).alias(f"{c}_b") for c in ("root", "size", "dist", "few")])
+    met = named.join(right, "token").where(can).groupBy("a", "b", "size", "size_b").agg(F.sum("weight").alias("n"))
     rest = F.greatest(F.col("size") - rule.prefix_column("size"), F.col("size_b") - rule.prefix_column("size_b"))
     heavy = F.greatest("size", "size_b") > light
     return met.where((F.col("n") >= F.least(F.lit(AGREE), overlap)) & (~heavy | (F.col("n") >= overlap - rest))).select("a", "b")
