@@ -34,6 +34,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def forget(*tables: DataFrame) -> None:
+    """Delete written tables that nothing reads any more."""
+    for t in tables:
+        for f in {p.rsplit("/", 1)[0] for p in t.inputFiles()}:
+            path = t.sparkSession._jvm.org.apache.hadoop.fs.Path(f)
+            path.getFileSystem(t.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
 def _bytes(f: StructField) -> Column:
     """Bytes that a row's value takes, measured where its width varies."""
     c, t = F.col(f"`{f.name}`"), f.dataType

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import dealt, small, table, written
+from .common import dealt, forget, small, table, written
 from .components import components
 from .words import NOT_SPACE, Words, groups, mix, shingle_sets
 
@@ -38,9 +38,11 @@ LIGHTEST = 40
 #: Common prefix shingles that two heavy sets must show before their texts are compared.
 AGREE = 4
 #: So many members of a list are those that the others are compared with first; half of them have the fewest rare shingles.
-PIVOTS = 6
+PIVOTS = 2
 #: Longer lists are divided by centres, so often at most; what is still longer then is compared member by member.
-LIST, LEVELS = 64, 4
+LIST, LEVELS = 256, 2
+#: 64-bit words of a signature: bit k tells whether an odd number of the set's shingles fall on k.
+SIGNS = 8
 #: Weight of a shingle in which two sets differ from a centre: it stands alone for a common prefix.
 ENOUGH = 1 << 20
 
@@ -209,18 +211,21 @@ def postings(d: DataFrame, rule: Rule, light: int, level: np.ndarray) -> DataFra
 
 
 def shared(p: DataFrame, rule: Rule, light: int) -> DataFrame:
-    """The postings whose token stands in several sets, with ``own``: so many prefix shingles of the set stand in no other prefix.
+    """The written postings whose token stands in several sets, with ``own``: so many prefix shingles of the set stand in no other prefix.
 
     They may stand in another set beyond its prefix, so ``own`` bounds no overlap; it only orders the pivots.
     """
     # most tokens stand in one set: they go before anything wider is shuffled
     several = written(p.groupBy("token").agg(F.min("name").alias("lo"), F.max("name").alias("hi")).where("lo < hi").select("token"), "shared")
     met = written(p.drop("name").join(several, "token", "left_semi"), "met")
+    forget(p, several)
     listed = met.groupBy("doc_id", "size").agg(F.sum((F.col("weight") == 1).cast("int")).alias("n"))
     # rows that share an id count together, which can only lower the number
     own = F.greatest(F.lit(0), rule.prefix_column("size") - F.col("n"))
     has_prefix = F.floor(F.col("size") * 100 / rule.percent) > light
-    return written(met.join(listed.select("doc_id", "size", F.when(has_prefix, own).otherwise(0).cast("int").alias("own")), ["doc_id", "size"]), "postings")
+    out = written(met.join(listed.select("doc_id", "size", F.when(has_prefix, own).otherwise(0).cast("int").alias("own")), ["doc_id", "size"]), "postings")
+    forget(met)
+    return out
 
 
 def _met(pairs: DataFrame, d: DataFrame) -> DataFrame:
@@ -316,27 +321,19 @@ def joined(documents: DataFrame, n: int = 5, percent: int = 80, key: str = "doc_
     star = star.join(side("doc_id", "a"), "doc_id").join(side("pivot", "b"), "pivot")
     star = star.where((100 * F.col("most_a") >= percent * F.col("least_b")) & (100 * F.col("most_b") >= percent * F.col("least_a")))
     star = written(star.where("a <> b").groupBy("a", "b").agg(F.max("n").alias("n")), "star")
-    # first each node with the pivot it meets most often, then with the others that are still apart
+    # first each node with the pivot it meets most often, then the members of lists that are still apart
     done = written(_pairs(star.groupBy("a").agg(F.max(F.struct("n", "b")).alias("m")).select("a", "m.b")), "pairs")
     links = linked(done, d, rule).unionByName(own)
-    for step in ("pivots", "lists"):
-        of = _roots(links)
-        if step == "pivots":
-            apart = of(of(_pairs(star), "a"), "b").where("root_a <> root_b").select("a", "b")
-        else:
-            lists = p.join(rep.select("doc_id", F.col("rep").alias("node")), "doc_id").select("token", F.col("node").alias("doc_id"), "size", "weight", "own").distinct()
-            odd = rep.where("several").select("doc_id")
-            several = written(lists.join(odd, "doc_id", "left_semi"), "several")
-            if several.isEmpty():
-                few, links, of = _divided(lists, links, of, d, rule)
-                apart = _across(few, None, of, rule, light)
-            else:  # ids of several sets have no one set to tell differences by: they meet all members of their lists
-                few, links, of = _divided(lists.join(odd, "doc_id", "left_anti"), links, of, d, rule)
-                apart = _across(few, None, of, rule, light).union(several.select("token", F.col("doc_id").alias("a")).join(lists.select("token", F.col("doc_id").alias("b")), "token").select("a", "b"))
-            apart = _pairs(apart)
-        more = written(apart.join(done, ["a", "b"], "left_anti"), "pairs")
-        links = links.unionByName(linked(more, d, rule))
-        done = done.unionByName(more)
+    lists = p.join(rep.select("doc_id", F.col("rep").alias("node")), "doc_id").select("token", F.col("node").alias("doc_id"), "size", "weight", "own").distinct()
+    odd = rep.where("several").select("doc_id")
+    several = written(lists.join(odd, "doc_id", "left_semi"), "several")
+    some = not several.isEmpty()
+    few, links, of = _divided(lists.join(odd, "doc_id", "left_anti") if some else lists, links, d, rule)
+    apart = _across(few, None, of, rule, light, signatures(few.select("doc_id").distinct(), d, rule))
+    if some:  # ids of several sets have no one set to tell differences by: they meet all members of their lists
+        apart = apart.union(several.select("token", F.col("doc_id").alias("a")).join(lists.select("token", F.col("doc_id").alias("b")), "token").select("a", "b"))
+    more = written(_pairs(apart).join(done, ["a", "b"], "left_anti"), "pairs")
+    links = links.unionByName(linked(more, d, rule))
     root = components(links)
     out = member.join(root.select(F.col("node").alias("rep"), "root"), "rep", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("root", "rep").alias("component_id"))
@@ -348,7 +345,22 @@ def _roots(links: DataFrame):
     return lambda df, c: df.join(root.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}")), c, "left").withColumn(f"root_{c}", F.coalesce(f"root_{c}", c))
 
 
-def _divided(lists: DataFrame, links: DataFrame, of, d: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame, object]:
+def signatures(ids: DataFrame, d: DataFrame, rule: Rule) -> DataFrame:
+    """a and the words of its signature: two sets differ in at least as many shingles as their signatures in bits."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for keys, sets in _sets(batches, rule):
+            bit = np.concatenate([mix(s) & np.uint64(64 * SIGNS - 1) for s in sets]).astype(np.int64)
+            at = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+            odd = (np.bincount(at * 64 * SIGNS + bit, minlength=len(sets) * 64 * SIGNS) & 1).astype(np.uint8)
+            words = np.packbits(odd).view(np.int64).reshape(len(sets), SIGNS)
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), *[pa.array(words[:, k]) for k in range(SIGNS)]], names=["a", *[f"s{k}" for k in range(SIGNS)]])
+
+    t = d.join(small(written(ids, "ids")), "doc_id", "left_semi").select("doc_id", "text")
+    return t.mapInArrow(rows, ", ".join(["a long", *[f"s{k} long" for k in range(SIGNS)]])).dropDuplicates(["a"])
+
+
+def _divided(lists: DataFrame, links: DataFrame, d: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame, object]:
     """Lists (token, doc_id, size, weight, own) with long ones divided; links with those found; components.
 
     A long list gets a centre c. D(x) are the shingles in which x differs from c. Two sets link if they differ in at most t of
@@ -360,13 +372,16 @@ def _divided(lists: DataFrame, links: DataFrame, of, d: DataFrame, rule: Rule) -
     """
     rows = lists.select("token", "doc_id", "size", "weight", "own", F.lit(None).cast("int").alias("dist"), F.lit(None).cast("int").alias("few"))
     columns = rows.columns
+    of = _roots(links)
     for level in range(LEVELS):
         named = of(rows.withColumnRenamed("doc_id", "a"), "a").withColumnRenamed("a", "doc_id")
         first = F.shiftleft(F.col("own").cast("long"), 40) + F.xxhash64("doc_id", F.lit(level)).bitwiseAND((1 << 40) - 1)
         mixed = named.groupBy("token").agg(F.min("root_a").alias("lo"), F.max("root_a").alias("hi"), F.count(F.lit(1)).alias("n"), F.min_by("doc_id", first).alias("centre")).where("lo < hi")
         mixed = written(mixed.select("token", "n", "centre"), "mixed")
         rows = written(named.select(columns).join(small(mixed), "token"), "lists")
-        long = rows.where((F.col("n") > LIST) & (F.col("doc_id") != F.col("centre")))
+        # listed differences are compared under a sharper bound, so their lists may be longer
+        short = F.col("n") <= F.when(F.col("few").isNull(), LIST).otherwise(16 * LIST)
+        long = rows.where(~short & (F.col("doc_id") != F.col("centre")))
         pairs = written(long.select(F.col("doc_id").alias("a"), F.col("centre").alias("b")).distinct(), "pairs")
         if pairs.isEmpty():
             break
@@ -378,7 +393,7 @@ def _divided(lists: DataFrame, links: DataFrame, of, d: DataFrame, rule: Rule) -
         inner, _ = rule.radii(1)
         beyond = diff.where(F.col("dist") > inner * F.col("size_b")).select(F.col("a").alias("doc_id"), F.col("b").alias("centre"))
         far = long.join(small(written(beyond, "beyond")), ["doc_id", "centre"]).select(columns)
-        rows = written(rows.where(F.col("n") <= LIST).select(columns).unionByName(far).unionByName(_anew(diff, of, rule).select(columns)), "lists")
+        rows = written(rows.where(short).select(columns).unionByName(far).unionByName(_anew(diff, of, rule).select(columns)), "lists")
     return rows.select(columns), links, of
 
 
@@ -389,7 +404,7 @@ def _anew(diff: DataFrame, of, rule: Rule) -> DataFrame:
     least = near.groupBy("b").agg(*[f(F.when(c, F.col(v))).alias(f"{v}_{k}") for k, c in (("any", F.lit(True)), ("out", out)) for v, f in (("dist", F.min), ("size", F.max))])
     each = near.select("a", "b", "root_a", out.alias("out"), "size", "dist", F.explode("tokens").alias("shingle"))
     several = each.groupBy("b", "shingle").agg(F.min("root_a").alias("lo"), F.max("root_a").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo < hi").select("b", "shingle", "n")
-    each = each.join(small(written(several, "several")), ["b", "shingle"]).join(least, "b")
+    each = each.join(small(written(several, "several")), ["b", "shingle"]).join(small(written(least, "least")), "b")
     # members of the centre's component only need those outside it
     dist, size = (F.when(F.col("out"), F.col(f"{v}_any")).otherwise(F.col(f"{v}_out")) for v in ("dist", "size"))
     most = F.least(size, F.floor(F.col("size") * 100 / rule.percent))
@@ -403,11 +418,12 @@ def _sizes(a: str, b: str, rule: Rule) -> Column:
     return 100 * F.least(a, b) >= rule.percent * F.greatest(a, b)
 
 
-def _across(lists: DataFrame, rep: DataFrame | None, of, rule: Rule, light: int) -> DataFrame:
+def _across(lists: DataFrame, rep: DataFrame | None, of, rule: Rule, light: int, signs: DataFrame | None = None) -> DataFrame:
     """Pairs in different components whose sizes allow a link and that share enough tokens.
 
     Of two prefixes, the one that ends first in the common order has all its common shingles in the other. So the overlap
-    is at most the common prefix shingles and the rest of that set.
+    is at most the common prefix shingles and the rest of that set. Signatures (a, s0 and so on) that differ in more bits than
+    linked sets may in shingles rule a pair out at once.
     """
     if rep is not None:
         lists = lists.join(rep.select("doc_id", "rep"), "doc_id").select("token", F.col("rep").alias("doc_id"), "size", "weight").distinct()
@@ -415,12 +431,16 @@ def _across(lists: DataFrame, rep: DataFrame | None, of, rule: Rule, light: int)
         lists = lists.select("*", F.lit(None).cast("int").alias("dist"), F.lit(None).cast("int").alias("few"))
     named = of(lists.select("token", F.col("doc_id").alias("a"), "size", "weight", "dist", "few"), "a").withColumnRenamed("root_a", "root")
     mixed = named.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("token")
-    named = written(named.join(small(written(mixed, "mixed")), "token"), "mixed")
+    named = named.join(small(written(mixed, "mixed")), "token")
+    named = written(named if signs is None else named.join(signs, "a"), "mixed")
+    words = [c for c in named.columns if c[0] == "s" and c[1:].isdigit()]
     overlap = rule.overlap_column("size", "size_b")
     # what two members differ in from their centre must have enough in common
     common = F.ceil((F.col("dist") + F.col("dist_b") - rule.difference(F.col("size") + F.col("size_b"))) / 2)
     can = (F.col("root") < F.col("root_b")) & _sizes("size", "size_b", rule) & F.coalesce(common <= F.least("few", "few_b"), F.lit(True))
-    right = named.select("token", F.col("a").alias("b"), *[F.col(c).alias(f"{c}_b") for c in ("root", "size", "dist", "few")])
+    if words:
+        can &= sum(F.bit_count(F.col(w).bitwiseXOR(F.col(f"{w}_b"))) for w in words) <= rule.difference(F.col("size") + F.col("size_b"))
+    right = named.select("token", F.col("a").alias("b"), *[F.col(c).alias(f"{c}_b") for c in ("root", "size", "dist", "few", *words)])
     met = named.join(right, "token").where(can).groupBy("a", "b", "size", "size_b").agg(F.sum("weight").alias("n"))
     rest = F.greatest(F.col("size") - rule.prefix_column("size"), F.col("size_b") - rule.prefix_column("size_b"))
     heavy = F.greatest("size", "size_b") > light

@@ -4,7 +4,7 @@ import random
 
 import pytest
 from pyspark.sql import functions as F
-from test_jaccard import brute
+from test_jaccard import brute, shingles
 
 from loomgraph.llm import jaccard
 
@@ -59,7 +59,22 @@ def test_near_misses_make_few_rows(spark, monkeypatch):
     across = jaccard._across
     monkeypatch.setattr(jaccard, "_across", lambda *a: met.append(across(*a)) or met[-1])
     assert joined(spark, texts, 4, 85) == brute(texts, 4, 85)
-    assert met[0].count() < 4000
+    assert met[0].count() < 100
+
+
+def test_signatures_bound_differences(spark):
+    r = random.Random(9)
+    texts = family(r, 150, 8, [1, 3, 9]) + family(r, 400, 3, [30]) + ["", "one"]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    signs = {x[0]: x[1:] for x in jaccard.signatures(d.select("doc_id"), d, jaccard.Rule(4, 85)).collect()}
+    sets = [shingles(t, 4) for t in texts]
+    exact = 0
+    for i, x in enumerate(sets):
+        for j, y in enumerate(sets):
+            bits = sum(((p ^ q) & (1 << 64) - 1).bit_count() for p, q in zip(signs[i], signs[j], strict=True))
+            assert bits <= len(x ^ y)
+            exact += bits > 0.8 * len(x ^ y)
+    assert exact > 20
 
 
 def test_ids_of_several_sets(spark):
