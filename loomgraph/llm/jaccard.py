@@ -42,7 +42,7 @@ PIVOTS = 2
 #: Longer lists are divided by centres, so often at most; what is still longer then is compared member by member.
 LIST, LEVELS = 256, 2
 #: 64-bit words of a signature: bit k tells whether an odd number of the set's shingles fall on k.
-SIGNS = 8
+SIGNS = 16
 #: Weight of a shingle in which two sets differ from a centre: it stands alone for a common prefix.
 ENOUGH = 1 << 20
 
@@ -431,20 +431,43 @@ def _across(lists: DataFrame, rep: DataFrame | None, of, rule: Rule, light: int,
         lists = lists.select("*", F.lit(None).cast("int").alias("dist"), F.lit(None).cast("int").alias("few"))
     named = of(lists.select("token", F.col("doc_id").alias("a"), "size", "weight", "dist", "few"), "a").withColumnRenamed("root_a", "root")
     mixed = named.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("token")
-    named = named.join(small(written(mixed, "mixed")), "token")
+    named = _merged(written(named.join(small(written(mixed, "mixed")), "token"), "mixed"))
+    # all that a member has in mixed lists, which is as much as it can have in common with any other
+    most = written(named.groupBy("a", "size").agg(F.sum("weight").alias("most")), "most")
+    named = named.join(small(most), ["a", "size"])
     named = written(named if signs is None else named.join(signs, "a"), "mixed")
-    words = [c for c in named.columns if c[0] == "s" and c[1:].isdigit()]
+    met = _meetings(named, rule, light).groupBy("a", "b", "size", "size_b").agg(F.sum("weight").alias("n"))
+    return met.where(F.col("n") >= _needed(rule, light)).select("a", "b")
+
+
+def _merged(named: DataFrame) -> DataFrame:
+    """Lists of the very same members, as the shingles of a passage have, as one: its weights are theirs together."""
+    mark = [F.bit_xor(F.xxhash64("a", "weight", "dist", "few", F.lit(k))).alias(f"x{k}") for k in range(2)]
+    lists = named.groupBy("token").agg(*mark, F.count(F.lit(1)).alias("n"))
+    first = lists.select("token", F.min("token").over(Window.partitionBy("x0", "x1", "n")).alias("first"))
+    out = named.join(first, "token").groupBy("first", "a", "size", "root", "dist", "few").agg(F.sum("weight").alias("weight"))
+    return written(out.withColumnRenamed("first", "token"), "lists")
+
+
+def _needed(rule: Rule, light: int) -> Column:
+    """So many common tokens of lists have two members that link."""
     overlap = rule.overlap_column("size", "size_b")
+    rest = F.greatest(F.col("size") - rule.prefix_column("size"), F.col("size_b") - rule.prefix_column("size_b"))
+    some = F.least(F.lit(AGREE), overlap)
+    return F.when(F.greatest("size", "size_b") > light, F.greatest(some, overlap - rest)).otherwise(some)
+
+
+def _meetings(named: DataFrame, rule: Rule, light: int) -> DataFrame:
+    """Members a and b of a list that may link, by all that is known of either."""
+    words = [c for c in named.columns if c[0] == "s" and c[1:].isdigit()]
     # what two members differ in from their centre must have enough in common
     common = F.ceil((F.col("dist") + F.col("dist_b") - rule.difference(F.col("size") + F.col("size_b"))) / 2)
     can = (F.col("root") < F.col("root_b")) & _sizes("size", "size_b", rule) & F.coalesce(common <= F.least("few", "few_b"), F.lit(True))
+    can &= F.least("most", "most_b") >= _needed(rule, light)
     if words:
         can &= sum(F.bit_count(F.col(w).bitwiseXOR(F.col(f"{w}_b"))) for w in words) <= rule.difference(F.col("size") + F.col("size_b"))
-    right = named.select("token", F.col("a").alias("b"), *[F.col(c).alias(f"{c}_b") for c in ("root", "size", "dist", "few", *words)])
-    met = named.join(right, "token").where(can).groupBy("a", "b", "size", "size_b").agg(F.sum("weight").alias("n"))
-    rest = F.greatest(F.col("size") - rule.prefix_column("size"), F.col("size_b") - rule.prefix_column("size_b"))
-    heavy = F.greatest("size", "size_b") > light
-    return met.where((F.col("n") >= F.least(F.lit(AGREE), overlap)) & (~heavy | (F.col("n") >= overlap - rest))).select("a", "b")
+    right = named.select("token", F.col("a").alias("b"), *[F.col(c).alias(f"{c}_b") for c in ("root", "size", "dist", "few", "most", *words)])
+    return named.join(right, "token").where(can)
 
 
 def op2_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
