@@ -1,18 +1,23 @@
 """Toxic spans by a linear-chain conditional random field.
 
-Fitting, on a bounded sample of labelled documents (see ``fit``): words and word beginnings that occur in many toxic and in
-hardly any clean documents label tokens; a two-label chain over these features is fitted to the labelled tokens by gradient
-ascent on its likelihood; a logistic curve turns a document's expected number of toxic tokens into a score.
+Fitting, on a bounded sample of labelled documents (see ``fitted``), in one task: the tables label documents, not tokens, so
+words and word beginnings that occur in many toxic and in hardly any clean documents label the tokens of toxic documents.
+A two-label chain is fitted to these tokens by gradient ascent on its likelihood, with exact marginals of tokens and
+of pairs. Its features are the word, its beginnings and end, and the words before and after; for some of the labelled tokens
+those that gave the label are hidden, so that the others must tell. A logistic curve turns a document's expected number of
+toxic tokens, of those that are at all likely, into a score.
 
 Scoring, of every whole text: forward-backward marginals of each token give spans and the score. Chains of a group of
 documents advance together, one step of all at a time.
 
 Defined cases: null or empty text: no tokens, the curve's score at 0. Null id: not held out. No labelled rows of both kinds:
-every score is 0. Repeated rows are scored alike. Empty table: no rows. Extra columns are ignored.
+every score is 0. Repeated rows are scored alike. Empty table: no rows. Long texts: whole, in time and memory of their
+length. Extra columns: kept only where asked for; asked-for columns named score or spans give way to the results.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,17 +25,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fold, table
-from .samples import sampled
+from .common import fold, small, table, written
 from .words import ALNUM, Table, Words, groups, mix, ngram_hash, span_hash
 
-#: Lengths of word beginnings, in bytes; 0 stands for the whole word.
+#: Lengths of word beginnings, in bytes; 0 stands for the whole word. These may label tokens.
 PARTS = (0, 4, 5, 6)
+#: Bytes of a word's end; tokens of a marginal from LIKELY on count for a document; one in HIDDEN labelled tokens has its label's features hidden.
+END, LIKELY, HIDDEN = 3, 0.1, 8
 _NONE = np.empty(0)
 
 
 def _features(w: Words) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(tokens, hashes) of each kind of feature."""
+    """(tokens, hashes) of each kind of feature that may label a token."""
     for k, n in enumerate(PARTS):
         salt = np.uint64(k + 1)
         if not n:
@@ -40,11 +46,19 @@ def _features(w: Words) -> Iterator[tuple[np.ndarray, np.ndarray]]:
             yield long, mix(span_hash(w.symbols, w.start[long], w.start[long] + n) + salt)
 
 
-def marginals(u: np.ndarray, first: np.ndarray, step: np.ndarray) -> np.ndarray:
-    """P(toxic) of each token. ``u``: log odds by the features; chain c is ``u[first[c]:first[c + 1]]``; ``step[i, j]``: log weight of j after i.
+def _context(w: Words) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(tokens, hashes) of the word's end, and of the words before and after it in its text."""
+    long = np.flatnonzero(w.end - w.start > END)
+    yield long, mix(span_hash(w.symbols, w.end[long] - END, w.end[long]) + np.uint64(11))
+    inner = np.flatnonzero(w.doc[1:] == w.doc[:-1])
+    yield inner + 1, mix(w.hash[inner] + np.uint64(12))
+    yield inner, mix(w.hash[inner + 1] + np.uint64(13))
+
+
+def _messages(u: np.ndarray, first: np.ndarray, step: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Odds of label 1 to 0 of each token: by its own features, by what stands up to it, and by what stands after it.
 
-    Messages are the odds of label 1 to 0, so nothing under- or overflows; chains are taken longest first, so those still
-    running are a prefix.
+    Messages are odds, so nothing under- or overflows; chains are taken longest first, so those still running are a prefix.
     """
     e = np.exp(step)
     size = np.diff(first)
@@ -67,10 +81,33 @@ def marginals(u: np.ndarray, first: np.ndarray, step: np.ndarray) -> np.ndarray:
         x = odds[at] * b
         b = (e[1, 0] + e[1, 1] * x) / (e[0, 0] + e[0, 1] * x)
         back[at - 1] = b
+    return odds, ahead, back
+
+
+def marginals(u: np.ndarray, first: np.ndarray, step: np.ndarray) -> np.ndarray:
+    """P(toxic) of each token. ``u``: log odds by the features; chain c is ``u[first[c]:first[c + 1]]``; ``step[i, j]``: log weight of j after i."""
+    _, ahead, back = _messages(u, first, step)
     both = ahead * back
     return both / (1 + both)
 
 
+def _inner(first: np.ndarray) -> np.ndarray:
+    """The tokens with one before them in their chain."""
+    inner = np.ones(first[-1], bool)
+    inner[first[:-1][np.diff(first) > 0]] = False
+    return np.flatnonzero(inner)
+
+
+def pair_marginals(u: np.ndarray, first: np.ndarray, step: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """P(toxic) of each token, and P(i, j) of each two neighbours' labels, as (pairs, 2, 2)."""
+    odds, ahead, back = _messages(u, first, step)
+    here = _inner(first)
+    r, x = ahead[here - 1], odds[here] * back[here]
+    pairs = np.stack([np.ones(len(here)), x, r, r * x], axis=1).reshape(-1, 2, 2) * np.exp(step)
+    both = ahead * back
+    return both / (1 + both), pairs / pairs.sum(axis=(1, 2), keepdims=True)
+
+
 class Model:
     """Features (hash to place), their weights, bias, transitions and the curve."""
 
@@ -81,9 +118,9 @@ class Model:
         self.plain: dict[int, float] = {}
 
     def active(self, w: Words) -> tuple[np.ndarray, np.ndarray]:
-        """Tokens and features that meet."""
+        """Tokens and the features they have."""
         tokens, features = [], []
-        for at, h in _features(w):
+        for at, h in (*_features(w), *_context(w)):
             k = self.table.find(h)
             tokens.append(at[k >= 0])
             features.append(k[k >= 0])
@@ -103,7 +140,7 @@ class Model:
         own = np.concatenate([np.arange(w.first[d], w.first[d + 1]) for d in at]) if len(at) else np.empty(0, np.int64)
         first = np.concatenate([[0], np.cumsum(np.concatenate([size[at], np.array(fresh, np.int64)]))]).astype(np.int64)
         p = marginals(np.concatenate([u[own], np.full(sum(fresh), self.bias)]), first, self.step) if len(first) > 1 else _NONE
-        total = np.concatenate([[0.0], np.cumsum(p)])
+        total = np.concatenate([[0.0], np.cumsum(np.where(p >= LIKELY, p, 0.0))])
         sums = total[first[1:]] - total[first[:-1]]
         self.plain.update(zip(fresh, sums[len(at) :].tolist(), strict=True))
         expected = np.array([self.plain.get(n, 0.0) for n in size.tolist()])
@@ -115,6 +152,15 @@ class Model:
         return self.__dict__ | {"plain": {}}
 
 
+def _leaning(at: np.ndarray, h: np.ndarray, gold: np.ndarray, least: int, lift: float = 3.0) -> np.ndarray:
+    """The features that stand at ``least`` labelled tokens and ``lift`` times as often there as at others."""
+    keys, place = np.unique(h, return_inverse=True)
+    toxic = np.bincount(place, weights=gold[at], minlength=len(keys))
+    rest = np.bincount(place, minlength=len(keys)) - toxic
+    rate = (toxic / max(1.0, gold[at].sum())) / ((rest + 0.5) / max(1.0, len(at) - gold[at].sum()))
+    return keys[(toxic >= least) & (rate >= lift)]
+
+
 def fit(sample: list[tuple[int, bytes]], rounds: int = 40, least: int = 4, lift: float = 20.0) -> Model:
     """Fit on (toxic 0 or 1, text). A feature needs ``least`` toxic documents and ``lift`` times the clean documents' rate."""
     if len({y for y, _ in sample}) < 2:
@@ -138,29 +184,35 @@ def fit(sample: list[tuple[int, bytes]], rounds: int = 40, least: int = 4, lift:
         toxic, clean = (np.bincount(place, weights=y[d[new]] == v, minlength=len(keys)) for v in (True, False))
         rate = (toxic / max(1, (y & ok).sum())) / ((clean + 0.3) / max(1, (~y & ok).sum()))
         found.append(keys[(toxic >= least) & (rate >= lift)])
-    m = Model(np.unique(np.concatenate(found)))
-    if not len(m.weights):
-        return m
+    own = np.unique(np.concatenate(found))
+    if not len(own):
+        return Model(own)
     # the chain is fitted on the toxic documents and as many clean ones
     clean = np.flatnonzero(~y)
     use = np.sort(np.concatenate([np.flatnonzero(y), clean[: max(1, int(y.sum()))]]))
     w = Words([sample[i][1].lower() for i in use], ALNUM)
-    tokens, features = m.active(w)
     gold = np.zeros(len(w.hash))
-    gold[tokens] = 1
+    gold[Model(own).active(w)[0]] = 1
+    gold *= y[use][w.doc]  # no token of a clean document is toxic
+    more = [_leaning(at, h, gold, least) for at, h in _context(w)]
+    m = Model(np.unique(np.concatenate([own, *more])))
+    tokens, features = m.active(w)
+    by_label = np.zeros(len(m.weights), bool)
+    by_label[m.table.find(own)] = True
+    m.weights[~by_label] = 0.0
+    hidden = (gold > 0) & (mix(np.arange(len(gold), dtype=np.uint64)) % np.uint64(HIDDEN) == 0)
+    shown = ~(hidden[tokens] & by_label[features])
+    tokens, features = tokens[shown], features[shown]
     first = w.first
-    inner = np.ones(len(gold), bool)
-    inner[first[:-1][np.diff(first) > 0]] = False  # tokens with one before them
-    here = np.flatnonzero(inner)
+    here = _inner(first)
     seen_w = np.bincount(features, weights=gold[tokens], minlength=len(m.weights))
-    pair = lambda x: np.array([[((1 - x[here - 1]) * (1 - x[here])).sum(), ((1 - x[here - 1]) * x[here]).sum()], [(x[here - 1] * (1 - x[here])).sum(), (x[here - 1] * x[here]).sum()]])
-    seen_t, power = pair(gold), [np.full(len(m.weights), 1e-6), 1e-6, np.full((2, 2), 1e-6)]
+    seen_t, power = np.zeros((2, 2)), [np.full(len(m.weights), 1e-6), 1e-6, np.full((2, 2), 1e-6)]
+    np.add.at(seen_t, (gold[here - 1].astype(int), gold[here].astype(int)), 1)
     for _ in range(rounds):
         u = np.full(len(gold), m.bias)
         np.add.at(u, tokens, m.weights[features])
-        p = marginals(u, first, m.step)
-        # pair marginals by the marginals of neighbours, exact where they are all but certain, as labelled tokens make them
-        slope = [seen_w - np.bincount(features, weights=p[tokens], minlength=len(m.weights)) - 0.01 * m.weights, gold.sum() - p.sum(), seen_t - pair(p) - 0.01 * m.step]
+        p, pairs = pair_marginals(u, first, m.step)
+        slope = [seen_w - np.bincount(features, weights=p[tokens], minlength=len(m.weights)) - 0.01 * m.weights, gold.sum() - p.sum(), seen_t - pairs.sum(axis=0) - 0.01 * m.step]
         power = [s + g * g for s, g in zip(power, slope, strict=True)]
         moves = [0.5 * g / np.sqrt(s) for s, g in zip(power, slope, strict=True)]
         m.weights, m.bias, m.step = m.weights + moves[0], float(np.clip(m.bias + moves[1], -14, 0)), np.clip(m.step + moves[2], -3, 3)
@@ -181,25 +233,40 @@ def fit(sample: list[tuple[int, bytes]], rounds: int = 40, least: int = 4, lift:
 
 
 def fitted(documents: DataFrame, labels: DataFrame, toxic: int = 3000, max_bytes: int = 20_000) -> Model:
-    """Fit on at most about ``toxic`` documents of each label, of up to ``max_bytes`` bytes, outside the held-out fold."""
-    own = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("label"))
-    train = documents.select("doc_id", "text").where(fold("doc_id", 3) != 1).join(own, "doc_id")
-    return fit(sampled(train, toxic, max_bytes))
+    """Fit on at most about ``toxic`` documents of each label, of up to ``max_bytes`` bytes, outside the held-out fold.
+
+    The ids are chosen from ``labels`` alone, so that of ``documents`` only the chosen texts are moved: to one task, which
+    sends back the model. The sample has up to 2.2 * toxic rows, of 2.2 * toxic * max_bytes bytes.
+    """
+    own = labels.where(F.col("toxic").isin(0, 1) & (fold("doc_id", 3) != 1)).groupBy(F.col("doc_id").cast("long").alias("labelled")).agg(F.max("toxic").alias("label"))
+    n = {r["label"]: r["count"] for r in own.groupBy("label").count().collect()}
+    share = F.when(F.col("label") == 1, toxic / max(1, n.get(1, 0))).otherwise(toxic / max(1, n.get(0, 0))) * 1_000_000
+    chosen = written(own.where(F.pmod(F.xxhash64("labelled", F.lit("sample")), F.lit(1_000_000)) < share), "chosen")
+    ok = documents.select("doc_id", "text").where((F.octet_length("text") <= max_bytes) & (fold("doc_id", 3) != 1))
+    rows = ok.join(small(chosen), F.col("doc_id") == F.col("labelled")).select("doc_id", "label", "text").limit(2 * toxic * 11 // 10)
 
+    def model(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sample = [(r["label"], r["text"].encode()) for b in batches for r in b.to_pylist()]
+        if sample:
+            yield pa.RecordBatch.from_pydict({"model": pa.array([pickle.dumps(fit(sample))], pa.binary())})
 
-_OUT = "score double, spans array<struct<start: long, end: long>>"
+    got = rows.repartition(1).sortWithinPartitions("doc_id", "text").mapInArrow(model, "model binary").collect()
+    return pickle.loads(got[0]["model"]) if got else fit([])
 
 
 def scored(documents: DataFrame, model: Model, columns: list[str], least: float | None = None, text: str = "text") -> DataFrame:
     """``columns`` with score and spans (code points); with ``least``, only documents that score below it."""
-    shared = documents.sparkSession.sparkContext.broadcast(model)
+    shared = documents.sparkSession.sparkContext.broadcast(model)  # some thousand features, as the sample is bounded
+    kinds = {f.name: f.dataType.simpleString() for f in documents.select(*columns).schema.fields if f.name not in ("score", "spans")}
     spans_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+    # columns go by their places, whatever they are called
+    places = [f"c{k}" for k in range(len(kinds))]
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m: Model = shared.value
         for b in batches:
-            texts = [(t or b"").lower() for t in b.column("_text").cast(pa.binary()).to_pylist()]
-            keep = b.select(columns)
+            texts = [(t or b"").lower() for t in b.column("words").cast(pa.binary()).to_pylist()]
+            keep = b.select(places)
             for lo, hi in groups(texts):
                 w = Words(texts[lo:hi], ALNUM)
                 score, own, p = m.scores(w)
@@ -211,12 +278,13 @@ def scored(documents: DataFrame, model: Model, columns: list[str], least: float
                         d = int(w.doc[run[0]])
                         base = points[w.at[d] - 1]
                         spans[d].append({"start": int(points[w.start[run[0]]] - base - 1), "end": int(points[w.end[run[-1]] - 1] - base)})
-                out = pa.RecordBatch.from_arrays([*keep.slice(lo, hi - lo).columns, pa.array(score), pa.array(spans, spans_type)], names=[*columns, "score", "spans"])
+                out = pa.RecordBatch.from_arrays([*keep.slice(lo, hi - lo).columns, pa.array(score), pa.array(spans, spans_type)], names=[*places, "score", "spans"])
                 yield out if least is None else out.filter(pa.array(score < least))
 
-    d = documents.select(*columns, F.col(text).cast("string").alias("_text"))
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in documents.select(*columns).schema.fields)
-    return d.mapInArrow(rows, f"{kept}, {_OUT}")
+    d = documents.select(*[F.col(f"`{c}`").alias(p) for c, p in zip(kinds, places, strict=True)], F.col(text).cast("string").alias("words"))
+    schema = "".join(f"{p} {t}, " for p, t in zip(places, kinds.values(), strict=True))
+    out = d.mapInArrow(rows, f"{schema}score double, spans array<struct<start: long, end: long>>")
+    return out.withColumnsRenamed(dict(zip(places, kinds, strict=True)))
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
