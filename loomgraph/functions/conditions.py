@@ -2,7 +2,9 @@
 
 A key is an envelope column (``relation``), a path into attributes (``attributes.size``), a member field (``members.node_id``)
 or ``$and``, ``$or``, ``$nor``. A value is a literal or a dictionary of ``$gt`` and the like. Comparisons are by kind: numbers
-with numbers, strings with strings, anything else false; ``$ne``, ``$nin``, ``$not`` and ``$nor`` hold for missing fields.
+with numbers, strings with strings, anything else false; ``$ne``, ``$nin``, ``$not`` and ``$nor`` hold for missing fields, and of
+members only if none meets what they deny. Envelope columns that a table lacks are missing fields. Empty ``$and``, ``$or``, ``$nor``
+and ``$all`` raise ValueError.
 """
 
 from __future__ import annotations
@@ -42,10 +44,21 @@ class Attribute:
 
     def compare(self, op, value: object) -> Column:
         same, field = self.typed(value)
-        inside = F.exists(self.get("array<double>" if isinstance(value, (int, float)) else "array<string>"), lambda x: op(x, F.lit(value)))
+        of = "boolean" if isinstance(value, bool) else "double" if isinstance(value, (int, float)) else "string"
+        inside = F.exists(self.get(f"array<{of}>"), lambda x: op(x, F.lit(value)))
         return (same & op(field, F.lit(value))) | (self.kind.startswith("ARRAY") & inside)
 
 
+    def like(self, pattern: str) -> Column:
+        """A text, or a text in a list, that the pattern is found in."""
+        inside = F.exists(self.get("array<string>"), lambda x: x.rlike(pattern))
+        return ((self.kind == "STRING") & self.get("string").rlike(pattern)) | (self.kind.rlike("^ARRAY<(STRING|VARIANT)") & inside)
+
+    def rest(self, by: int) -> Column:
+        """Remainder with the sign of the number; null for anything but a number."""
+        return F.when(self.typed(by)[0], self.get("long") % F.lit(by))
+
+
 class Field:
     """An envelope column; texts are compared with timestamps as timestamps."""
 
@@ -59,6 +72,12 @@ class Field:
     def get(self, kind: str) -> Column:
         return self.column.cast(kind)
 
+    def like(self, pattern: str) -> Column:
+        return self.column.cast("string").rlike(pattern)
+
+    def rest(self, by: int) -> Column:
+        return F.expr("try_cast(null as long)") if self.time else self.column.cast("long") % F.lit(by)
+
     def compare(self, op, value: object) -> Column:
         v = F.lit(value)
         return op(self.column, v.cast("timestamp") if self.time and isinstance(value, (str, datetime)) else v)
@@ -79,31 +98,37 @@ def _test(field: Attribute | Field, test: object) -> Column:
             any_of = reduce(operator.or_, [_test(field, x) for x in v], F.lit(False))
             found.append(any_of if op == "$in" else ~any_of)
         elif op == "$all":
-            found.append(reduce(operator.and_, [_test(field, x) for x in v], F.lit(True)))
+            found.append(reduce(operator.and_, [_test(field, x) for x in _some(op, v)]))
         elif op == "$not":
             found.append(~_test(field, v))
         elif op == "$exists":
             found.append(~field.missing if v else field.missing)
         elif op == "$regex":
             flags = test.get("$options", "")
-            found.append(field.get("string").rlike(f"(?{flags}){v}" if flags else v))
+            found.append(field.like(f"(?{flags}){v}" if flags else v))
         elif op == "$size":
             found.append(F.size(field.get("array<string>")) == v)
         elif op == "$mod":
-            found.append(F.pmod(field.get("long"), F.lit(v[0])) == v[1])
+            found.append(field.rest(v[0]) == v[1])
         elif op != "$options":
             raise ValueError(f"unknown operator {op}")
     return F.coalesce(reduce(operator.and_, found, F.lit(True)), F.lit(False))
 
 
-def condition(doc: dict) -> Column:
-    """All of the dictionary's tests. An unknown bare key is an attribute."""
+def _some(name: str, tests: list) -> list:
+    if not isinstance(tests, list) or not tests:
+        raise ValueError(f"{name} takes a list of one or more")
+    return tests
+
+
+def condition(doc: dict, columns: list[str] | None = None) -> Column:
+    """All of the dictionary's tests. An unknown bare key is an attribute; ``columns`` are those that the table has."""
     found = []
     for k, v in doc.items():
         if k in ("$and", "$or"):
-            found.append(reduce(operator.and_ if k == "$and" else operator.or_, [condition(d) for d in v]))
+            found.append(reduce(operator.and_ if k == "$and" else operator.or_, [condition(d, columns) for d in _some(k, v)]))
         elif k == "$nor":
-            found.append(~reduce(operator.or_, [condition(d) for d in v]))
+            found.append(~reduce(operator.or_, [condition(d, columns) for d in _some(k, v)]))
         elif k == "tags":
             found.append(has_tags(v))
         elif k == "members":
@@ -112,16 +137,25 @@ def condition(doc: dict) -> Column:
         elif k.startswith("members."):
             found.append(_member(k.split(".", 1)[1], v))
         elif k in ENVELOPE:
-            found.append(_test(Field(F.col(k), k.startswith("valid_")), v))
+            there = columns is None or k in columns
+            found.append(_test(Field(F.col(k) if there else F.lit(None).cast("string"), there and k.startswith("valid_")), v))
         else:
             found.append(_test(Attribute(k.removeprefix("attributes.")), v))
     return reduce(operator.and_, found, F.lit(True))
 
 
+_DENIED = {"$ne": lambda v: v, "$nin": lambda v: {"$in": v}, "$not": lambda v: v}
+
+
 def _member(field: str, test: object) -> Column:
-    if isinstance(test, dict) and "$all" in test:
-        return reduce(operator.and_, [_member(field, x) for x in test["$all"]])
-    return F.exists("members", lambda m: _test(Field(m[field]), test))
+    if isinstance(test, dict):
+        if "$all" in test:
+            return reduce(operator.and_, [_member(field, x) for x in _some("$all", test["$all"])])
+        denied = [~_member(field, _DENIED[op](v)) for op, v in test.items() if op in _DENIED]
+        if denied:
+            rest = {op: v for op, v in test.items() if op not in _DENIED}
+            return reduce(operator.and_, denied + ([_member(field, rest)] if rest else []))
+    return F.coalesce(F.exists("members", lambda m: _test(Field(m[field]), test)), F.lit(False))
 
 
 def has_tags(tags: str | list[str]) -> Column:
@@ -138,7 +172,24 @@ def valid_at(at: str | datetime) -> Column:
     return (F.col("valid_from").isNull() | (F.col("valid_from") <= t)) & (F.col("valid_to").isNull() | (F.col("valid_to") >= t))
 
 
+#: White space at which texts are trimmed.
+_BLANK = r"[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
+
+
+def _ascii(text: Column) -> Column:
+    """Characters beyond ASCII as JSON escapes, those beyond 16 bits as two."""
+    escape = lambda n: F.concat(F.lit("\\u"), F.lower(F.lpad(F.hex(n), 4, "0")))
+
+    def one(ch: Column) -> Column:
+        n = F.ascii(ch)
+        pair = F.concat(escape(F.lit(0xD800) + F.shiftright(n - 0x10000, 10)), escape(F.lit(0xDC00) + (n - 0x10000).bitwiseAND(0x3FF)))
+        return F.when(n < 127, ch).when(n < 0x10000, escape(n)).otherwise(pair)
+
+    return F.when(text.rlike(r"[^\x00-\x7e]"), F.array_join(F.transform(F.split(text, ""), one), "")).otherwise(text)
+
+
 def hyperkey(graph: Column, relation: Column, member_ids: Column) -> Column:
-    """The first 32 hex digits of the SHA-256 of graph, sorted members and trimmed lower-case relation as compact JSON."""
-    doc = F.to_json(F.struct(graph.alias("graph"), F.sort_array(member_ids).alias("members"), F.lower(F.btrim(relation)).alias("relation")))
-    return F.substring(F.sha2(doc, 256), 1, 32)
+    """The first 32 hex digits of the SHA-256 of graph, sorted members and trimmed lower-case relation as compact ASCII JSON."""
+    trimmed = F.lower(F.regexp_replace(relation, f"^{_BLANK}|{_BLANK}$", ""))
+    doc = F.to_json(F.struct(graph.alias("graph"), F.sort_array(member_ids).alias("members"), trimmed.alias("relation")))
+    return F.substring(F.sha2(_ascii(doc), 256), 1, 32)

@@ -25,9 +25,9 @@ def scoped(df: DataFrame, graphs: str | list[str], catalog: dict[str, list[str]]
 
 
 def matched(df: DataFrame, *, where: dict | None = None, tags=None, nodes=None, status: str | None = "active", at=None, **equal) -> DataFrame:
-    """Rows that meet everything given; ``equal`` names columns (type, relation, flavor, id). Status is active unless given."""
+    """Rows that meet everything given; ``equal`` names columns (type, relation, flavor, id). Status is active unless given here or in ``where``."""
     tests: list[Column] = [F.col(k) == v for k, v in equal.items()]
-    if status:
+    if status and not (status == "active" and where and "status" in where):
         tests.append(F.col("status") == status)
     if tags:
         tests.append(has_tags(tags))
@@ -36,7 +36,7 @@ def matched(df: DataFrame, *, where: dict | None = None, tags=None, nodes=None,
     if at is not None:
         tests.append(valid_at(at))
     if where:
-        tests.append(condition(where))
+        tests.append(condition(where, df.columns))
     for t in tests:
         df = df.where(t)
     return df

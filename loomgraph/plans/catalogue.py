@@ -54,6 +54,11 @@ def attr_gt(g):
     return _nodes(g, type="Customer", where={"attributes.acctbal": {"$gt": 5000}}).select("id", "label", se.attribute("acctbal", "double").alias("attributes_acctbal"))
 
 
+@_query("SELECT 'part:' || p_partkey AS id FROM part")
+def status_in_where(g):
+    return _nodes(g, "sales", where={"status": {"$nin": ["draft", "archived"]}, "type": "Part"}).select("id")
+
+
 @_query("SELECT 'part:' || p_partkey AS id, 'Part' AS type FROM part")
 def node_scan_type(g):
     return _nodes(g, "sales", type="Part").select("id", "type")
@@ -89,6 +94,16 @@ def attr_ne_missing(g):
     return _nodes(g, where={"mktsegment": {"$ne": "BUILDING"}}).select("id")
 
 
+@_query("SELECT 'part:' || p_partkey AS id FROM part WHERE p_size % 7 = 3")
+def attr_mod(g):
+    return _nodes(g, "sales", where={"size": {"$mod": [7, 3]}}).select("id")
+
+
+@_query("SELECT 'part:' || p_partkey AS id FROM part WHERE regexp_matches(p_brand, '[13]$')")
+def attr_regex(g):
+    return _nodes(g, "sales", where={"brand": {"$regex": "[13]$"}, "size": {"$not": {"$regex": "^1"}}}).select("id")
+
+
 @_query("SELECT 'part:' || p_partkey AS id FROM part WHERE p_size IN (1, 5, 9)")
 def attr_in(g):
     return _nodes(g, "sales", where={"size": {"$in": [1, 5, 9]}}).select("id")
@@ -150,6 +165,11 @@ def edge_members_any(g):
     return _edges(g, relation="placed", where={"members.node_id": {"$in": ["part:1", "part:2", "part:3"]}}).select("id")
 
 
+@_query(f"SELECT {_ORDER} AS id FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_partkey IN (1, 2))")
+def edge_members_not_in(g):
+    return _edges(g, relation="placed", where={"members.node_id": {"$nin": ["part:1", "part:2"]}}).select("id")
+
+
 @_query(f"SELECT {_ORDER} AS id FROM orders WHERE o_custkey = 1")
 def edge_member_fields(g):
     """Each member field may be met by another member."""
