@@ -249,6 +249,37 @@ def within(a: str, b: str, most: int) -> bool:
     return score <= most
 
 
+#: Counters of neighbouring characters in a bag, and characters of lines whose bags are compared at once.
+BAG, CHUNK = 256, 1 << 21
+
+
+def _bag(texts: list[str], apart: np.uint32) -> np.ndarray:
+    """(texts, BAG) numbers of pairs of neighbouring characters, which share a counter if their hashes do."""
+    code = np.frombuffer("".join(texts).encode("utf-32-le"), "<u4")
+    of = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
+    inside = of[1:] == of[:-1]
+    pair = ((code[:-1] * np.uint32(0x9E3779B1) + code[1:]) * apart) >> np.uint32(24)
+    return np.bincount(of[1:][inside] * BAG + pair[inside], minlength=len(texts) * BAG).reshape(-1, BAG)
+
+
+def possible(a: list[str], b: list[str], most: list[int]) -> np.ndarray:
+    """Which pairs may be within their edit distances: an edit takes away or adds at most two pairs of neighbours.
+
+    Exact as a bound: counters that several pairs share only make bags look more alike. Costs in proportion to the texts.
+    """
+    out = np.ones(len(a), bool)
+    size = np.cumsum([len(x) + len(y) for x, y in zip(a, b, strict=True)])
+    lo = 0
+    while lo < len(a):
+        hi = max(lo + 1, int(np.searchsorted(size, (size[lo - 1] if lo else 0) + CHUNK, "right")))
+        hi = min(hi, lo + 4096)
+        gap = _bag(a[lo:hi], np.uint32(0x85EBCA6B)) - _bag(b[lo:hi], np.uint32(0x85EBCA6B))
+        lost, won = np.maximum(gap, 0).sum(axis=1), np.maximum(-gap, 0).sum(axis=1)
+        out[lo:hi] = np.maximum(lost, won) <= 2 * np.array(most[lo:hi], np.int64)
+        lo = hi
+    return out
+
+
 def _most(a: str, b: str, similarity: float) -> Column:
     return F.floor(F.lit(1 - similarity + 1e-9) * F.greatest(a, b)).cast("int")
 
@@ -262,7 +293,8 @@ def linked(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x, y, most = (batch.column(c).to_pylist() for c in ("words_a", "words_b", "most"))
-            yield batch.select(["a", "b"]).filter(pa.array([within(p, q, m) for p, q, m in zip(x, y, most, strict=True)], pa.bool_()))
+            may = possible(x, y, most)
+            yield batch.select(["a", "b"]).filter(pa.array([bool(k) and within(p, q, m) for k, p, q, m in zip(may, x, y, most, strict=True)], pa.bool_()))
 
     side = lambda c: texts.select(F.col("id").alias(c), F.col("words").alias(f"words_{c}"), F.col("size").alias(f"size_{c}"))
     m = dealt(pairs.join(side("a"), "a"), side("b"), pairs, "b")
