@@ -4,7 +4,8 @@ A key is an envelope column (``relation``), a path into attributes (``attributes
 or ``$and``, ``$or``, ``$nor``. A value is a literal or a dictionary of ``$gt`` and the like. Comparisons are by kind: numbers
 with numbers, strings with strings, anything else false; ``$ne``, ``$nin``, ``$not`` and ``$nor`` hold for missing fields, and of
 members only if none meets what they deny. Envelope columns that a table lacks are missing fields. Empty ``$and``, ``$or``, ``$nor``
-and ``$all`` raise ValueError.
+and ``$all`` raise ValueError. ``$elemMatch`` asks one element, or one member, for all of its tests; ``$type`` takes the
+names in ``_KINDS``, and envelope columns are strings.
 """
 
 from __future__ import annotations
@@ -20,15 +21,31 @@ ENVELOPE = {"hypergraph_id", "id", "label", "type", "status", "relation", "flavo
 _ORDER = {"$gt": operator.gt, "$gte": operator.ge, "$lt": operator.lt, "$lte": operator.le}
 
 
+#: Kinds by the names that conditions use.
+_KINDS = {"string": "STRING", "bool": "BOOLEAN", "int": "BIGINT", "long": "BIGINT", "double": "DOUBLE|FLOAT|DECIMAL.*", "number": "BIGINT|DOUBLE|FLOAT|DECIMAL.*", "array": "ARRAY.*", "object": "OBJECT.*", "null": "VOID"}
+
+
 class Attribute:
-    """A path into the VARIANT column ``attributes``."""
+    """A path into the VARIANT column ``attributes``, or into the VARIANT ``within``; an empty path is all of it."""
 
-    def __init__(self, path: str):
-        self.path = "$" + "".join(f'["{p}"]' for p in path.split("."))
-        self.kind = F.schema_of_variant(F.try_variant_get("attributes", self.path, "variant"))
+    def __init__(self, path: str, within: Column | str = "attributes"):
+        self.within, self.path = within, "$" + "".join(f'["{p}"]' for p in path.split(".") if p)
+        self.kind = F.schema_of_variant(F.try_variant_get(within, self.path, "variant"))
 
     def get(self, kind: str) -> Column:
-        return F.try_variant_get("attributes", self.path, kind)
+        return F.try_variant_get(self.within, self.path, kind)
+
+    def elements(self, test) -> Column:
+        """Whether an element of the list meets the test, which takes an Attribute."""
+        return F.coalesce(F.exists(self.get("array<variant>"), lambda x: test(Attribute("", x))), F.lit(False))
+
+    def of_kind(self, name: str) -> Column:
+        """Whether the value, or an element of a list, is of the named kind; whole numbers of over 32 bits are long."""
+        own = F.coalesce(self.kind.rlike(f"^({_KINDS[name]})$"), F.lit(False))
+        if name in ("int", "long"):
+            wide = (self.get("long") > F.lit(2**31 - 1)) | (self.get("long") < F.lit(-(2**31)))
+            own = own & F.coalesce(wide if name == "long" else ~wide, F.lit(False))
+        return own
 
     @property
     def missing(self) -> Column:
@@ -78,6 +95,12 @@ class Field:
     def rest(self, by: int) -> Column:
         return F.expr("try_cast(null as long)") if self.time else self.column.cast("long") % F.lit(by)
 
+    def elements(self, test) -> Column:
+        return F.lit(False)
+
+    def of_kind(self, name: str) -> Column:
+        return self.column.isNull() if name == "null" else self.column.isNotNull() & F.lit(name == "string")
+
     def compare(self, op, value: object) -> Column:
         v = F.lit(value)
         return op(self.column, v.cast("timestamp") if self.time and isinstance(value, (str, datetime)) else v)
@@ -108,6 +131,14 @@ def _test(field: Attribute | Field, test: object) -> Column:
             found.append(field.like(f"(?{flags}){v}" if flags else v))
         elif op == "$size":
             found.append(F.size(field.get("array<string>")) == v)
+        elif op == "$elemMatch":
+            found.append(field.elements(lambda x, v=v: _element(x, v)))
+        elif op == "$type":
+            kinds = [v] if isinstance(v, str) else _some(op, v)
+            if unknown := set(kinds) - set(_KINDS):
+                raise ValueError(f"unknown kinds {sorted(unknown)}")
+            own = reduce(operator.or_, [field.of_kind(k) for k in kinds])
+            found.append(own | field.elements(lambda x, kinds=kinds: reduce(operator.or_, [x.of_kind(k) for k in kinds])))
         elif op == "$mod":
             found.append(field.rest(v[0]) == v[1])
         elif op != "$options":
@@ -115,6 +146,13 @@ def _test(field: Attribute | Field, test: object) -> Column:
     return F.coalesce(reduce(operator.and_, found, F.lit(True)), F.lit(False))
 
 
+def _element(x: Attribute, test: dict) -> Column:
+    """Tests of an element itself, or of its fields."""
+    if all(k.startswith("$") for k in test):
+        return _test(x, test)
+    return reduce(operator.and_, [_test(Attribute(k, x.within), v) for k, v in test.items()], F.lit(True))
+
+
 def _some(name: str, tests: list) -> list:
     if not isinstance(tests, list) or not tests:
         raise ValueError(f"{name} takes a list of one or more")
@@ -133,7 +171,7 @@ def condition(doc: dict, columns: list[str] | None = None) -> Column:
             found.append(has_tags(v))
         elif k == "members":
             # each field may be met by another member
-            found += [_member(f, t) for f, t in v.items()]
+            found += [_one_member(t) if f == "$elemMatch" else _member(f, t) for f, t in v.items()]
         elif k.startswith("members."):
             found.append(_member(k.split(".", 1)[1], v))
         elif k in ENVELOPE:
@@ -158,6 +196,11 @@ def _member(field: str, test: object) -> Column:
     return F.coalesce(F.exists("members", lambda m: _test(Field(m[field]), test)), F.lit(False))
 
 
+def _one_member(tests: dict) -> Column:
+    """Whether one member meets all tests of its fields."""
+    return F.coalesce(F.exists("members", lambda m: reduce(operator.and_, [_test(Field(m[f]), t) for f, t in tests.items()], F.lit(True))), F.lit(False))
+
+
 def has_tags(tags: str | list[str]) -> Column:
     return reduce(operator.and_, [F.array_contains("tags", t) for t in ([tags] if isinstance(tags, str) else tags)])
 

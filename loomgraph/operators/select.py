@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.conditions import condition, has_members, has_tags, valid_at
+from ..functions.conditions import condition, has_members, has_tags, hyperkey, valid_at
 
 
 def scoped(df: DataFrame, graphs: str | list[str], catalog: dict[str, list[str]] | None = None) -> DataFrame:
@@ -62,6 +62,36 @@ def page(df: DataFrame, order: list, skip: int = 0, limit: int = 500) -> DataFra
     return df.orderBy(*order).offset(skip).limit(limit)
 
 
+def newest(df: DataFrame, skip: int = 0, limit: int = 50, created: str = "system_created") -> tuple[DataFrame, DataFrame]:
+    """One row with the total, and a page of the rows, newest first; rows of one time by graph and id, those without a time last."""
+    order = [F.col(created).desc_nulls_last(), "hypergraph_id", "id"]
+    return df.agg(F.count(F.lit(1)).alias("total")), page(df, order, skip, limit)
+
+
+def by_ids(df: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows of any status and time whose id is in ``ids`` (id)."""
+    return df.join(ids.select("id"), "id", "left_semi")
+
+
+def edge_by(edges: DataFrame, name: str) -> DataFrame:
+    """Edges by id or hyperkey; the key is computed where the frame holds none."""
+    key = F.col("hyperkey") if "hyperkey" in edges.columns else hyperkey(F.col("hypergraph_id"), F.col("relation"), F.col("members.node_id"))
+    return edges.where((F.col("id") == name) | (key == name))
+
+
+def catalog(nodes: DataFrame, edges: DataFrame, logical: dict[str, list[str]] | None = None) -> DataFrame:
+    """hypergraph_id, kind (physical, logical), composition of every graph: those that rows name, and the logical ones."""
+    named = nodes.select("hypergraph_id").unionByName(edges.select("hypergraph_id")).distinct()
+    out = named.select("hypergraph_id", F.lit("physical").alias("kind"), F.array().cast("array<string>").alias("composition"))
+    rows = [(k, "logical", v) for k, v in (logical or {}).items()]
+    return out.unionByName(nodes.sparkSession.createDataFrame(rows, out.schema)) if rows else out
+
+
+def pruned(df: DataFrame) -> DataFrame:
+    """Without the ``skos_`` columns, which results don't show."""
+    return df.drop(*[c for c in df.columns if c.startswith("skos_")])
+
+
 def grouped_counts(df: DataFrame, field: Column) -> DataFrame:
     return df.groupBy(F.coalesce(field.cast("string"), F.lit("None")).alias("value")).agg(F.count(F.lit(1)).alias("n"))
 

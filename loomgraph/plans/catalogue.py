@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,6 +14,7 @@ from ..operators import patterns as pt
 from ..operators import select as se
 from ..sources import star
 from ..sources.star import Graph
+from ..streaming import activity
 
 _QUERIES: dict[str, Callable[[Graph], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -30,7 +32,7 @@ def _query(sql: str):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {k: (lambda spark, sf_dir, f=f: f(star.load(spark, sf_dir))) for k, f in _QUERIES.items()}
+    return {k: (lambda spark, sf_dir, f=f: f(star.load(spark, sf_dir))) for k, f in _QUERIES.items()} | {"stream_activity": stream_activity}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -337,3 +339,95 @@ def update_and_delete(g):
     n = _nodes(g, "geo", type="Region").withColumn("version", F.lit(1)).select("id", "label", "version")
     changes = spark.createDataFrame([("region:1", "renamed"), ("region:2", None)], "id string, label string")
     return ch.deleted(ch.updated(n, changes, ["id"]), spark.createDataFrame([("region:4",)], "id string"), ["id"])
+
+
+@_query("SELECT 'located-in:supplier:' || s_suppkey AS e, 'located-in' AS r FROM supplier WHERE s_suppkey = 1 UNION ALL SELECT DISTINCT 'supplies:' || l_suppkey || ':' || l_partkey, 'supplies' FROM lineitem WHERE l_suppkey = 1")
+def p_var_relation(g):
+    return pt.edge_pattern(g, None, "e", ["supplier:1"], relation="?r").select("e", "r")
+
+
+@_query("SELECT 'nation:' || n_nationkey AS n, 'region:' || n_regionkey AS x FROM nation")
+def p_id_reference(g):
+    b = pt.edge_pattern(g, None, "e", [{"node": "?n", "seq": 0}, {"node": "?r", "seq": 1}], relation="in-region")
+    return pt.node_pattern(g, b, "x", id="?r", type="Region").select("n", "x")
+
+
+@_query("SELECT 'customer:' || c_custkey AS x, 'nation:' || c_nationkey AS n FROM customer WHERE c_acctbal > 9000")
+def p_semi_bound(g):
+    b = pt.edge_pattern(g, None, "e", [{"node": "?x", "seq": 0}, {"node": "?n", "seq": 1}], relation="located-in")
+    return pt.node_pattern(g, b, "x", type="Customer", where={"acctbal": {"$gt": 9000}}).select("x", "n")
+
+
+@_query("SELECT DISTINCT 'nation:' || c_nationkey AS n FROM customer")
+def p_distinct_rows(g):
+    b = pt.edge_pattern(g, None, "e", [{"node": "?x", "seq": 0}, {"node": "?n", "seq": 1}], relation="located-in")
+    return pt.node_pattern(g, b, "x", type="Customer").select("n").distinct()
+
+
+@_query("SELECT 'supplier:' || s_suppkey AS x FROM supplier WHERE regexp_matches(s_name, '[13579]$') AND right(s_name, 1) IN ('1', '3')")
+def p_filter_matches_in(g):
+    b = pt.documents(g, pt.node_pattern(g, None, "x", type="Supplier"), "x", label=c("label"))
+    return b.where(c("label").rlike("[13579]$") & F.right("label", F.lit(1)).isin("1", "3")).select("x")
+
+
+@_query(f"SELECT {_CUSTOMER} AS id FROM customer WHERE c_mktsegment IS NOT NULL")
+def attr_type(g):
+    return _nodes(g, where={"mktsegment": {"$type": "string"}, "key": {"$type": ["int", "long"]}}).select("id")
+
+
+@_query(f"SELECT {_ORDER} AS id FROM orders WHERE o_custkey = 1")
+def edge_one_member(g):
+    return _edges(g, relation="placed", where={"members": {"$elemMatch": {"node_id": "customer:1", "seq": 0}}}).select("id")
+
+
+@_query("SELECT 'in-region:' || n_nationkey AS id FROM nation WHERE n_nationkey = 3")
+def edge_by_name(g):
+    return se.edge_by(se.scoped(g.edges, "geo"), "in-region:3").select("id")
+
+
+@_query("SELECT 'nation:' || n_nationkey AS id FROM nation WHERE n_nationkey IN (1, 2) UNION ALL SELECT 'part:' || p_partkey FROM part WHERE p_partkey = 2")
+def node_batch(g):
+    wanted = g.nodes.sparkSession.createDataFrame([("nation:1",), ("nation:2",), ("part:2",), ("nobody",)], "id string")
+    return se.by_ids(g.nodes, wanted).select("id")
+
+
+@_query("SELECT unnest(['geo', 'parties', 'sales', 'activity', 'world', 'goods']) AS hypergraph_id, unnest(['', '', '', '', 'geo,parties,goods', 'sales']) AS composition")
+def graph_catalog(g):
+    return se.catalog(g.nodes, g.edges, CATALOG).select("hypergraph_id", F.array_join("composition", ",").alias("composition"))
+
+
+@_query(f"SELECT {_ORDER} AS id FROM orders ORDER BY o_orderdate DESC NULLS LAST, id LIMIT 20 OFFSET 5")
+def edges_newest(g):
+    return se.newest(_edges(g, relation="placed"), 5, 20, created="valid_from")[1].select("id")
+
+
+@_query("SELECT count(*) AS total FROM orders")
+def edges_newest_total(g):
+    return se.newest(_edges(g, relation="placed"), 5, 20, created="valid_from")[0]
+
+
+@_query("""SELECT substr(sha256('{"graph":"geo","members":["nation:' || n_nationkey || '","region:' || n_regionkey || '"],"relation":"in-region"}'), 1, 32) AS id, 1 AS version FROM nation""")
+def create_edges(g):
+    new = _edges(g, "geo").drop("id")
+    return ch.created(new, "2024-01-01 00:00:00").select("id", "version")
+
+
+@_query("SELECT 'parties' AS hypergraph_id, (SELECT count(*) FROM customer) + (SELECT count(*) FROM supplier) AS n_nodes, (SELECT count(*) FROM customer) + (SELECT count(*) FROM supplier) AS n_edges")
+def delete_graph(g):
+    some = Graph(se.scoped(g.nodes, ["geo", "parties"]), se.scoped(g.edges, ["geo", "parties"]))
+    rest = ch.without_graphs(some, g.nodes.sparkSession.createDataFrame([("geo",)], "hypergraph_id string"))
+    n, e = (df.groupBy("hypergraph_id").agg(F.count(F.lit(1)).alias(k)) for df, k in ((rest.nodes, "n_nodes"), (rest.edges, "n_edges")))
+    return n.join(e, "hypergraph_id", "full")
+
+
+def stream_activity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events counted by day and type by a stream that reads all files there are."""
+    path = f"{ch.shared_path(spark)}/activity-{uuid.uuid4().hex}"
+    files = f"{sf_dir}/events.parquet"
+    # a stream takes a single file only by a pattern
+    stream = spark.readStream.schema(spark.read.parquet(files).schema).parquet(f"{files}*")
+    activity.keep(activity.windowed(stream), path).awaitTermination()
+    return activity.state(spark, path).select(c("start").cast("string").alias("start"), "event_type", "n")
+
+
+_SQL["stream_activity"] = "SELECT strftime(date_trunc('day', ts), '%Y-%m-%d %H:%M:%S') AS start, event_type, count(*) AS n FROM events WHERE ts IS NOT NULL GROUP BY ALL"
