@@ -4,8 +4,8 @@ Headers (id, digest, length) are aggregated by payload digest, each record is jo
 the archives are written by Spark's text writer: a record is one string whose separator is the CRLF CRLF that ends a
 WARC record, so plain executors write valid archives to any store. Every record gets fresh headers.
 
-Defined cases: null payload: an empty one, always ``response``. Null id: kept, written without a record id, reads back
-as null. Equal payloads under the same id (repeated rows): each is ``response``. Payloads under ``least`` bytes are never
+Defined cases: null payload: an empty one, always ``response``. Null id: kept, written under a
+random record id and always ``response``, reads back as null. All records of a write bear its time. Equal payloads under the same id (repeated rows): each is ``response``. Payloads under ``least`` bytes are never
 shared. Further columns of the input are ignored. Empty input: an archive folder without records.
 """
 
@@ -15,6 +15,7 @@ import gzip
 import hashlib
 import io
 from collections.abc import Iterator
+from datetime import UTC, datetime
 from typing import BinaryIO
 
 import pyarrow as pa
@@ -47,8 +48,9 @@ def resolve(pages: DataFrame, key: str = "page_id", payload: str = "html", url:
     return joined.withColumn("refers_to", F.when(F.col("id") != F.col("original"), F.col("original"))).drop("d", "original")
 
 
-def write(resolved: DataFrame, path: str, records_per_file: int = 5000) -> None:
-    """Write gzip archives; a revisit has headers and no payload."""
+def write(resolved: DataFrame, path: str, records_per_file: int = 5000, at: datetime | None = None) -> None:
+    """Write gzip archives dated ``at`` (now if not given); a revisit has headers and no payload."""
+    date = (at or datetime.now(UTC)).astimezone(UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
     line = lambda name, value: F.when(value.isNotNull(), F.concat(F.lit(f"{name}: "), value, F.lit("\r\n"))).otherwise("")
     urn = lambda c: F.concat(F.lit("<urn:record:"), c.cast("string"), F.lit(">"))
     revisit = F.col("refers_to").isNotNull()
@@ -57,7 +59,7 @@ def write(resolved: DataFrame, path: str, records_per_file: int = 5000) -> None:
     target = F.nullif(F.regexp_replace("url", r"[\r\n]+", "%0A"), F.lit(""))
     record = F.concat(
         F.lit("WARC/1.1\r\nWARC-Type: "), F.when(revisit, "revisit").otherwise("response"), F.lit("\r\n"),
-        line("WARC-Record-ID", urn(F.col("id"))), line("WARC-Target-URI", target), line("WARC-Refers-To", urn(F.col("refers_to"))),
+        line("WARC-Record-ID", F.coalesce(urn(F.col("id")), F.concat(F.lit("<urn:uuid:"), F.uuid(), F.lit(">")))), F.lit(f"WARC-Date: {date}\r\n"), line("WARC-Target-URI", target), line("WARC-Refers-To", urn(F.col("refers_to"))),
         F.when(revisit, "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest\r\n").otherwise(""),
         F.lit("WARC-Payload-Digest: sha256:"), F.col("digest"), F.lit("\r\nX-Payload-Length: "), F.col("bytes").cast("string"),
         F.lit("\r\nContent-Type: application/http; msgtype=response\r\nContent-Length: "), F.octet_length(block).cast("string"), F.lit(END), block,
@@ -79,7 +81,7 @@ def parse(archive: BinaryIO) -> Iterator[tuple[dict[str, str], bytes]]:
 
 
 def _records(batches: Iterator[pa.RecordBatch], most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
-    number = lambda urn: None if urn is None else urn[len("<urn:record:") : -1]
+    number = lambda urn: urn[len("<urn:record:") : -1] if urn and urn.startswith("<urn:record:") else None
     made = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _TYPES, strict=True)], names=_NAMES)
     for b in batches:
         for content in b.column("content"):
