@@ -249,6 +249,81 @@ def within(a: str, b: str, most: int) -> bool:
     return score <= most
 
 
+#: Longest shorter text whose edit distance is taken many pairs at a time, and pairs times words of 64 bits at a time.
+LANES, TOGETHER = 512, 8192
+
+
+def _together(a: list[str], b: list[str], most: np.ndarray) -> np.ndarray:
+    """``within`` of many pairs, b falling in length: a column of each pair's table is a row of 64-bit words."""
+    at, n = np.array([len(x) for x in a]), np.array([len(y) for y in b])
+    code = lambda t, size: np.frombuffer("".join(t).encode("utf-32-le"), "<u4") + np.repeat(np.arange(len(t)) << 21, size)
+    place = lambda size: np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+    words, one = -(-int(at.max()) // 64), np.uint64(1)
+    chars, row = np.unique(code(a, at), return_inverse=True)
+    masks, i = np.zeros((words, len(chars) + 1), np.uint64), place(at)
+    np.bitwise_or.at(masks, (i >> 6, row), one << (i & 63).astype(np.uint64))
+    asked = code(b, n)
+    row = np.minimum(np.searchsorted(chars, asked), len(chars) - 1)
+    row[chars[row] != asked] = len(chars)
+    steps = np.full((int(n[0]), len(b)), len(chars))
+    steps[place(n), np.repeat(np.arange(len(b)), n)] = row
+
+    out, who = np.zeros(len(a), bool), np.arange(len(a))
+    last = np.where((at - 1) >> 6 == np.arange(words)[:, None], one << ((at - 1) & 63).astype(np.uint64), np.uint64(0))
+    up, down, score = np.full((words, len(a)), ~np.uint64(0)), np.zeros((words, len(a)), np.uint64), at.copy()
+    for j in range(len(steps)):
+        ended = np.searchsorted(-n[who], -j)  # from here on, b has no character j
+        if ended < len(who) or j % 16 == 0:
+            out[who[ended:]] = score[ended:] <= most[who[ended:]]
+            stay = np.flatnonzero(score[:ended] - (n[who[:ended]] - j) <= most[who[:ended]])
+            if len(stay) < len(who):
+                who, last, up, down, score = who[stay], last[:, stay], up[:, stay], down[:, stay], score[stay]
+        if not len(who):
+            return out
+        rise, fall = np.ones(len(who), np.uint64), np.zeros(len(who), np.uint64)
+        c = steps[j, who]
+        for w in range(words):
+            p, m = up[w], down[w]
+            x = masks[w][c]
+            both = x | m
+            x |= fall
+            zero = (((x & p) + p) ^ p) | x
+            plus, minus = m | ~(zero | p), p & zero
+            score += ((plus & last[w]) != 0).astype(np.int64) - ((minus & last[w]) != 0)
+            plus, rise = plus << one | rise, plus >> np.uint64(63)
+            minus, fall = minus << one | fall, minus >> np.uint64(63)
+            up[w], down[w] = minus | ~(both | plus), plus & both
+    out[who] = score <= most[who]
+    return out
+
+
+def all_within(a: list[str], b: list[str], most: list[int]) -> np.ndarray:
+    """``within`` of each pair. Pairs whose shorter text is within ``LANES`` go together with others of like length."""
+    out, some = np.zeros(len(a), bool), []
+    for i, (x, y, m) in enumerate(zip(a, b, most, strict=True)):
+        if min(len(x), len(y)) > LANES:
+            out[i] = within(x, y, m)
+            continue
+        k = _same(x, y)
+        x, y = x[k:], y[k:]
+        k = _same(x[::-1], y[::-1])
+        x, y = sorted((x[: len(x) - k], y[: len(y) - k]), key=len)
+        if len(y) <= m:
+            out[i] = True
+        elif x and len(y) - len(x) <= m:
+            some.append((-(-len(x) // 64), -len(y), i, x, y, m))
+    some.sort(key=lambda t: t[:3])
+    lo = 0
+    while lo < len(some):
+        hi = min(len(some), lo + TOGETHER // some[lo][0])
+        while some[hi - 1][0] != some[lo][0]:
+            hi -= 1
+        _, _, i, x, y, m = zip(*some[lo:hi], strict=True)
+        out[list(i)] = _together(x, y, np.array(m))
+        lo = hi
+    return out
+
+
 #: Counters of neighbouring characters in a bag, and characters of lines whose bags are compared at once.
 BAG, CHUNK = 256, 1 << 21
 
@@ -293,8 +368,9 @@ def linked(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x, y, most = (batch.column(c).to_pylist() for c in ("words_a", "words_b", "most"))
-            may = possible(x, y, most)
-            yield batch.select(["a", "b"]).filter(pa.array([bool(k) and within(p, q, m) for k, p, q, m in zip(may, x, y, most, strict=True)], pa.bool_()))
+            may = np.flatnonzero(possible(x, y, most))
+            close = all_within(*[[c[i] for i in may] for c in (x, y, most)])
+            yield batch.select(["a", "b"]).take(pa.array(may[close]))
 
     side = lambda c: texts.select(F.col("id").alias(c), F.col("words").alias(f"words_{c}"), F.col("size").alias(f"size_{c}"))
     m = dealt(pairs.join(side("a"), "a"), side("b"), pairs, "b")
