@@ -25,7 +25,8 @@ def _star(links: DataFrame, large: bool) -> DataFrame:
     out = moved.select(F.col("m").alias("a"), v.alias("b"))
     if not large:
         out = out.unionByName(least.select(F.col("m").alias("a"), u.alias("b")))
-    return out.where("a < b").distinct()
+    out = out.where("a < b")
+    return out if large else out.distinct()  # what large stars repeat goes with the small stars' repeats
 
 
 def components(links: DataFrame) -> DataFrame:
