@@ -49,3 +49,21 @@ def test_keys_of_any_alphabet(spark):
     got = [r[0] for r in d.select(hyperkey(F.col("g"), F.col("r"), F.col("m"))).collect()]
     want = [json.dumps({"graph": g, "members": sorted(m), "relation": r.lower().strip()}, sort_keys=True, separators=(",", ":")) for g, r, m in rows]
     assert got == [hashlib.sha256(w.encode()).hexdigest()[:32] for w in want]
+
+
+def test_lists_are_looked_up_at_once(spark):
+    rows = [("a", '{"n": 3, "s": "x", "z": -0.0}'), ("b", '{"n": "3", "s": ["q", "x"]}'), ("c", '{"n": [7, 40], "s": null}'), ("d", '{"n": 2.5, "s": true}'), (None, '{"n": 12}')]
+    d = spark.createDataFrame(rows, "id string, attributes string").withColumn("attributes", F.parse_json("attributes"))
+    many = [f"k{i}" for i in range(60)]
+    lists = {"id": [["a", "c"], [*many, "b"], ["a", None], []], "n": [[3, 2.5], [*range(20, 80)], ["3", 12], [*many, 3, "3"], [None]], "s": [["x"], ["x", True], [None, "q"], [{"$regex": "^x"}, *many]], "z": [[0, *range(2, 30)], [0.0]]}
+    for field, some in lists.items():
+        for values in some:
+            for op in ("$in", "$nin"):
+                each = F.lit(False)
+                for v in values:
+                    each = each | condition({field: v})
+                want = {repr(r) for r in d.where(each if op == "$in" else ~each).collect()}
+                assert {repr(r) for r in d.where(condition({field: {op: values}})).collect()} == want, (field, op, values)
+    # a list's values don't stand in the plan one by one, each with its own computation of the column
+    shown = d.where(condition({"id": {"$in": many}}))._jdf.queryExecution().optimizedPlan().toString()
+    assert "INSET" in shown and " OR " not in shown.upper()
