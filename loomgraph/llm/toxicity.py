@@ -152,74 +152,132 @@ class Model:
         return self.__dict__ | {"plain": {}}
 
 
-def _leaning(at: np.ndarray, h: np.ndarray, gold: np.ndarray, least: int, lift: float = 3.0) -> np.ndarray:
-    """The features that stand at ``least`` labelled tokens and ``lift`` times as often there as at others."""
-    keys, place = np.unique(h, return_inverse=True)
-    toxic = np.bincount(place, weights=gold[at], minlength=len(keys))
-    rest = np.bincount(place, minlength=len(keys)) - toxic
-    rate = (toxic / max(1.0, gold[at].sum())) / ((rest + 0.5) / max(1.0, len(at) - gold[at].sum()))
-    return keys[(toxic >= least) & (rate >= lift)]
+#: Tokens whose pairs of labels are held at once, and bytes of text whose features are.
+PAIRS, PART = 1 << 17, 1 << 21
+
+
+def _summed(u: np.ndarray, first: np.ndarray, step: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """P(toxic) of each token, and the sum of all P(i, j) of ``pair_marginals``, of which only a part is held at once."""
+    odds, ahead, back = _messages(u, first, step)
+    begins = np.zeros(len(u), bool)
+    begins[first[:-1][np.diff(first) > 0]] = True
+    odds *= back
+    total, e = np.zeros(4), np.exp(step).ravel()
+    for lo in range(1, len(u), PAIRS):
+        inner = np.flatnonzero(~begins[lo : lo + PAIRS]) + lo
+        r, x = ahead[inner - 1], odds[inner]
+        pairs = np.stack([np.ones(len(inner)), x, r, r * x]) * e[:, None]
+        total += (pairs / pairs.sum(axis=0)).sum(axis=1)
+    ahead *= back
+    ahead /= 1 + ahead
+    return ahead, total.reshape(2, 2)
+
+
+class _Counts:
+    """How often each hash stands with and without the label, over parts of the texts: as large as the distinct hashes."""
+
+    def __init__(self):
+        self.keys, self.on, self.all = np.empty(0, np.uint64), _NONE, _NONE
+        self.labelled = self.seen = 0.0
+
+    def add(self, h: np.ndarray, label: np.ndarray) -> None:
+        some, place = np.unique(h, return_inverse=True)
+        on, n = np.bincount(place, weights=label, minlength=len(some)), np.bincount(place, minlength=len(some)).astype(float)
+        self.keys, place = np.unique(np.concatenate([self.keys, some]), return_inverse=True)
+        self.on = np.bincount(place, weights=np.concatenate([self.on, on]), minlength=len(self.keys))
+        self.all = np.bincount(place, weights=np.concatenate([self.all, n]), minlength=len(self.keys))
+        self.labelled, self.seen = self.labelled + label.sum(), self.seen + len(label)
+
+    def leaning(self, least: int, lift: float = 3.0) -> np.ndarray:
+        """The features that stand at ``least`` labelled tokens and ``lift`` times as often there as at others."""
+        rate = (self.on / max(1.0, self.labelled)) / ((self.all - self.on + 0.5) / max(1.0, self.seen - self.labelled))
+        return self.keys[(self.on >= least) & (rate >= lift)]
+
+
+def _parts(texts: list[bytes]) -> Iterator[tuple[int, Words]]:
+    """The words of the texts, a part of the texts at a time, with the place of the part's first text."""
+    for lo, hi in groups(texts, PART):
+        yield lo, Words([t.lower() for t in texts[lo:hi]], ALNUM)
 
 
 def fit(sample: list[tuple[int, bytes]], rounds: int = 40, least: int = 4, lift: float = 20.0) -> Model:
-    """Fit on (toxic 0 or 1, text). A feature needs ``least`` toxic documents and ``lift`` times the clean documents' rate."""
+    """Fit on (toxic 0 or 1, text). A feature needs ``least`` toxic documents and ``lift`` times the clean documents' rate.
+
+    Words and features are made for a part of the texts at a time; what is held of all texts is eight numbers a token.
+    """
     if len({y for y, _ in sample}) < 2:
         return Model(np.empty(0, np.uint64))
-    words = Words([t.lower() for _, t in sample], ALNUM)
-    # near copies of a document must not vouch for its words: one document for each smallest shingle hash
-    grams, seen, ok = ngram_hash(words.hash, 5), set(), np.zeros(len(sample), bool)
-    for d, (lo, hi) in enumerate(zip(words.first[:-1].tolist(), words.first[1:].tolist(), strict=True)):
-        g = grams[lo : hi - 4] if hi - lo >= 5 else words.hash[lo:hi]
-        marks = {int(g.min()), int(mix(g).min())} if len(g) else set()
-        ok[d] = bool(marks) and not marks & seen
-        seen |= marks
     y = np.array([t for t, _ in sample], bool)
+    # near copies of a document must not vouch for its words: one document for each smallest shingle hash
+    seen, ok, counts = set(), np.zeros(len(sample), bool), [_Counts() for _ in PARTS]
+    for begin, words in _parts([t for _, t in sample]):
+        grams = ngram_hash(words.hash, 5)
+        for d, (lo, hi) in enumerate(zip(words.first[:-1].tolist(), words.first[1:].tolist(), strict=True), begin):
+            g = grams[lo : hi - 4] if hi - lo >= 5 else words.hash[lo:hi]
+            marks = {int(g.min()), int(mix(g).min())} if len(g) else set()
+            ok[d] = bool(marks) and not marks & seen
+            seen |= marks
+        for kind, (at, h) in zip(counts, _features(words), strict=True):
+            d = words.doc[at] + begin
+            h, d = h[ok[d]], d[ok[d]]
+            order = np.lexsort((d, h))
+            h, d = h[order], d[order]
+            new = np.concatenate([[True], (h[1:] != h[:-1]) | (d[1:] != d[:-1])])[: len(h)]
+            kind.add(h[new], y[d[new]].astype(float))
     found = []
-    for at, h in _features(words):
-        at, h = at[ok[words.doc[at]]], h[ok[words.doc[at]]]
-        order = np.lexsort((words.doc[at], h))
-        h, d = h[order], words.doc[at][order]
-        new = np.concatenate([[True], (h[1:] != h[:-1]) | (d[1:] != d[:-1])])[: len(h)]
-        keys, place = np.unique(h[new], return_inverse=True)
-        toxic, clean = (np.bincount(place, weights=y[d[new]] == v, minlength=len(keys)) for v in (True, False))
+    for kind in counts:
+        toxic, clean = kind.on, kind.all - kind.on
         rate = (toxic / max(1, (y & ok).sum())) / ((clean + 0.3) / max(1, (~y & ok).sum()))
-        found.append(keys[(toxic >= least) & (rate >= lift)])
+        found.append(kind.keys[(toxic >= least) & (rate >= lift)])
     own = np.unique(np.concatenate(found))
     if not len(own):
         return Model(own)
     # the chain is fitted on the toxic documents and as many clean ones
     clean = np.flatnonzero(~y)
     use = np.sort(np.concatenate([np.flatnonzero(y), clean[: max(1, int(y.sum()))]]))
-    w = Words([sample[i][1].lower() for i in use], ALNUM)
-    gold = np.zeros(len(w.hash))
-    gold[Model(own).active(w)[0]] = 1
-    gold *= y[use][w.doc]  # no token of a clean document is toxic
-    more = [_leaning(at, h, gold, least) for at, h in _context(w)]
-    m = Model(np.unique(np.concatenate([own, *more])))
-    tokens, features = m.active(w)
+    texts, by_word, marks, sizes, context = [sample[i][1] for i in use], Model(own), [], [], None
+    for begin, w in _parts(texts):
+        gold = np.zeros(len(w.hash))
+        gold[by_word.active(w)[0]] = 1
+        gold *= y[use][w.doc + begin]  # no token of a clean document is toxic
+        marks.append(gold)
+        sizes.append(np.diff(w.first))
+        kinds = list(_context(w))
+        context = context or [_Counts() for _ in kinds]
+        for kind, (at, h) in zip(context, kinds, strict=True):
+            kind.add(h, gold[at])
+    gold, first = np.concatenate(marks), np.concatenate([[0], np.cumsum(np.concatenate(sizes))])
+    m = Model(np.unique(np.concatenate([own, *(kind.leaning(least) for kind in context)])))
     by_label = np.zeros(len(m.weights), bool)
     by_label[m.table.find(own)] = True
     m.weights[~by_label] = 0.0
     hidden = (gold > 0) & (mix(np.arange(len(gold), dtype=np.uint64)) % np.uint64(HIDDEN) == 0)
-    shown = ~(hidden[tokens] & by_label[features])
-    tokens, features = tokens[shown], features[shown]
-    first = w.first
+    tokens, features = [], []
+    for begin, w in _parts(texts):
+        at, k = m.active(w)
+        at = at + first[begin]
+        shown = ~(hidden[at] & by_label[k])
+        tokens.append(at[shown])
+        features.append(k[shown])
+    tokens, features = np.concatenate(tokens), np.concatenate(features)
     here = _inner(first)
     seen_w = np.bincount(features, weights=gold[tokens], minlength=len(m.weights))
     seen_t, power = np.zeros((2, 2)), [np.full(len(m.weights), 1e-6), 1e-6, np.full((2, 2), 1e-6)]
     np.add.at(seen_t, (gold[here - 1].astype(int), gold[here].astype(int)), 1)
+    labelled, size = gold.sum(), len(gold)
+    del here, hidden, gold, marks
     for _ in range(rounds):
-        u = np.full(len(gold), m.bias)
+        u = np.full(size, m.bias)
         np.add.at(u, tokens, m.weights[features])
-        p, pairs = pair_marginals(u, first, m.step)
-        slope = [seen_w - np.bincount(features, weights=p[tokens], minlength=len(m.weights)) - 0.01 * m.weights, gold.sum() - p.sum(), seen_t - pairs.sum(axis=0) - 0.01 * m.step]
+        p, pairs = _summed(u, first, m.step)
+        slope = [seen_w - np.bincount(features, weights=p[tokens], minlength=len(m.weights)) - 0.01 * m.weights, labelled - p.sum(), seen_t - pairs - 0.01 * m.step]
         power = [s + g * g for s, g in zip(power, slope, strict=True)]
         moves = [0.5 * g / np.sqrt(s) for s, g in zip(power, slope, strict=True)]
         m.weights, m.bias, m.step = m.weights + moves[0], float(np.clip(m.bias + moves[1], -14, 0)), np.clip(m.step + moves[2], -3, 3)
     # the curve, by Newton steps on the documents' expected counts
     m.curve = (0.0, 1.0)
     score = np.empty(len(sample))
-    for lo, hi in groups([t for _, t in sample]):
+    for lo, hi in groups([t for _, t in sample], PART):
         s, _, _ = m.scores(Words([t.lower() for _, t in sample[lo:hi]], ALNUM))
         score[lo:hi] = s
     x = np.stack([np.ones(len(y)), np.log(score / (1 - score))], axis=1)  # log1p(expected)
@@ -246,7 +304,7 @@ def fitted(documents: DataFrame, labels: DataFrame, toxic: int = 3000, max_bytes
     rows = ok.join(small(chosen), F.col("doc_id") == F.col("labelled")).select("doc_id", "label", "text").limit(2 * toxic * 11 // 10)
 
     def model(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sample = [(r["label"], r["text"].encode()) for b in batches for r in b.to_pylist()]
+        sample = [(y, t) for b in batches for y, t in zip(b.column("label").to_pylist(), b.column("text").cast(pa.binary()).to_pylist(), strict=True)]
         if sample:
             yield pa.RecordBatch.from_pydict({"model": pa.array([pickle.dumps(fit(sample))], pa.binary())})
 

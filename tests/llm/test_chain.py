@@ -3,6 +3,7 @@
 import copy
 import itertools
 import random
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -80,3 +81,25 @@ def test_clashing_names_and_repeated_rows(spark):
     d = spark.createDataFrame([(1, "vile scum1 filth2 creature", "x", 7), (1, "vile scum1 filth2 creature", "x", 7), (2, None, "y", 8)], "doc_id long, text string, score string, words int")
     rows = toxicity.scored(d.withColumn("c0", F.lit(3)), m, ["doc_id", "words", "c0", "score"]).collect()
     assert sorted((r["doc_id"], r["words"], r["c0"], r["score"] > 0.5) for r in rows) == [(1, 7, 3, True), (1, 7, 3, True), (2, 8, 3, False)]
+
+
+def test_fit_holds_a_part_of_the_texts_at_a_time(monkeypatch):
+    # the executors of the pipeline have little room left: not much more than the chain's own numbers for each token
+    r = random.Random(6)
+    clean = [f"w{i}" for i in range(3000)]
+    docs = []
+    for i in range(2400):
+        w = [r.choice(clean) for _ in range(150)]
+        if i % 3 == 0:
+            w[20:24] = ["vile", f"scum{r.randrange(9)}", f"filth{r.randrange(9)}", "creature"]
+        docs.append((int(i % 3 == 0), " ".join(w).encode()))
+    whole = toxicity.fit(docs, rounds=3)
+    monkeypatch.setattr(toxicity, "PART", 1 << 16, raising=False)
+    monkeypatch.setattr(toxicity, "PAIRS", 1 << 12, raising=False)
+    tracemalloc.start()
+    parts = toxicity.fit(docs, rounds=3)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 110 * 240_000, peak
+    assert (whole.table.keys == parts.table.keys).all() and len(whole.weights)
+    assert parts.weights == pytest.approx(whole.weights) and parts.step == pytest.approx(whole.step) and parts.curve == pytest.approx(whole.curve)
