@@ -3,9 +3,10 @@
 A line is normalised to its lower-case words with digits as 0. Equal lines are one node, named by a 128-bit hash. Nodes that
 have a value in common are compared by edit similarity. ``near`` says which values a node gets: "blocks" are the 32-bit blocks
 of a SimHash of its distinct words, one of which agrees if fewer bits than there are blocks differ, which few near copies do;
-"pairs" are ``BANDS`` MinHashes of its pairs of neighbouring words, and for short lines one hash without each of the words, so
-that any one word may differ (a character of a script without spaces is a word here). op9 and the pipeline take pairs. Of each connected group of lines the first
-occurrence (smallest document id, then line number) stays, all others go.
+"pairs" are ``HASHES`` pairs of MinHashes, of shingles of some words in its first half and in its second, so that lines which
+share a passage but not the rest don't meet; and for short lines one hash without each of the words, so that any one word may
+differ (a character of a script without spaces is a word here). op9 and the pipeline take pairs. Of each connected group of
+lines the first occurrence (smallest document id, then line number) stays, all others go.
 
 Within a value, members are first compared with one pivot, then only with members of other groups, so nothing grows
 with the square of a group and no link between groups is lost.
@@ -29,8 +30,8 @@ from .components import components
 from .words import ALNUM, Words, groups, mix, ngram_hash, span_hash
 
 BLOCKS = 6
-#: MinHashes of a line, and smallest pair hashes in one; lines of up to SHORT words get hashes without each word too.
-BANDS, ROWS, SHORT = 20, 3, 12
+#: MinHashes of a line's halves, and bytes of words in each shingle; lines of up to SHORT words get hashes without each word too.
+HASHES, SPAN, SHORT = 14, 8, 12
 _DIGITS = bytes.maketrans(b"123456789", b"0" * 9)
 #: The eight bits of a byte as eight bytes, to be summed in one word.
 _LANES = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).view("<u8").ravel()
@@ -117,26 +118,32 @@ class Lines:
         return (h.view(np.uint32).astype(np.int64) | (np.arange(BLOCKS, dtype=np.int64) << 32)).ravel(), np.full(len(h), BLOCKS)
 
     def pairs(self) -> tuple[np.ndarray, np.ndarray]:
-        """Values of the lines one after another, and how many each has: bands, and hashes without one word."""
+        """Values of the lines one after another, and how many each has: MinHashes of shingles, and hashes without one word."""
         w, n = self.words, len(self.first)
         start, end = _pieces(w)
         lo, hi = np.searchsorted(start, w.start[self.first]), np.searchsorted(start, w.end[self.end - 1])
         h, size = w.hash if start is w.start else span_hash(w.symbols, start, end), hi - lo
+        letters = np.concatenate([[0], np.cumsum(end - start)])
+        odd = mix(np.arange(1, HASHES + 1, dtype=np.uint64)) | np.uint64(1)
         out, of = [], []
         for a in range(0, n, 4096):
-            # pairs of neighbours; a line's last word, which has none, takes the pair before
+            # from each word, as many as it takes to SPAN bytes; of long lines, the last words, with too few after them, begin none
             at, count = lo[a : a + 4096], size[a : a + 4096]
             begin = np.cumsum(count) - count
             place = np.repeat(at - begin, count) + np.arange(count.sum())
-            place[begin + count - 1] -= count > 1
-            pair = (mix(h[place] * np.uint64(3) + h[np.minimum(place + 1, len(h) - 1)]) >> np.uint64(32)).astype(np.uint32)
-            for k in range(BANDS):
-                value = np.full(len(at), k, np.uint64)
-                for j in range(ROWS):
-                    odd = np.uint32(mix(np.array([k * ROWS + j + 1], np.uint64))[0] & np.uint64(0xFFFFFFFF) | np.uint64(1))
-                    value = mix(value * np.uint64(0x9FB21C651E98DF25) + np.minimum.reduceat(pair * odd, begin))
-                out.append(value)
-                of.append(np.arange(a, a + len(at)))
+            ends = np.repeat(at + count, count)
+            stop = np.searchsorted(letters, letters[place] + SPAN)
+            whole = (stop <= ends) | np.repeat(count <= SHORT, count)
+            stop = np.minimum(stop, ends)
+            line = np.repeat(np.arange(len(at)), count)[whole]
+            shingle = span_hash(h, place[whole], stop[whole])
+            new = np.flatnonzero(np.diff(line, prepend=-1))
+            many = np.diff(np.append(new, len(line)))
+            halves = np.stack([new, new + many // 2], axis=1).ravel()  # of one shingle, both are that
+            for k in range(HASHES if len(new) else 0):
+                least = np.minimum.reduceat(shingle * odd[k], halves)
+                out.append(mix(mix(least[::2] + np.uint64(k)) + least[1::2]))
+                of.append(a + line[new])
         for p in range(1, SHORT + 1):
             some = np.flatnonzero(size == p)
             if len(some):

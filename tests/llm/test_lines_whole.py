@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 from test_lines import distance
 
@@ -71,3 +72,32 @@ def test_production_takes_pairs(spark, tmp_path):
 def test_size_is_that_of_the_text():
     x = lines.Lines(["a Bé, 版权 𠀀\n\nx--y 12 z ü".encode(), b"one two three"], 1)
     assert x.size().tolist() == [len(x.text(i)) for i in range(3)]
+
+
+def words_of(r, n):
+    return ["".join(r.choice("abcdefghijklmnop") for _ in range(r.randrange(2, 9))) for _ in range(n)]
+
+
+def meeting(texts):
+    values, n = lines.Lines([t.encode() for t in texts], 5).pairs()
+    ends = np.cumsum(n)
+    return [set(values[b - k : b].tolist()) for b, k in zip(ends, n, strict=True)]
+
+
+def test_a_shared_passage_alone_does_not_meet():
+    # else candidates grow with the square of the lines that hold a passage
+    r = random.Random(4)
+    passage = words_of(r, 12)
+    sets = meeting([" ".join(passage + words_of(r, 30)) for _ in range(60)])
+    assert sum(bool(a & b) for i, a in enumerate(sets) for b in sets[:i]) <= 5
+
+
+def test_recall_of_letter_errors():
+    r = random.Random(5)
+    some = [" ".join(words_of(r, r.randrange(13, 60))) for _ in range(600)]
+    met = {}
+    for share in (0.03, 0.08):
+        both = [(a, "".join(r.choice("abcdefghijklmnop") if c != " " and r.random() < share else c for c in a)) for a in some]
+        a, b = meeting([x for x, _ in both]), meeting([y for _, y in both])
+        met[share] = sum(bool(x & y) for x, y in zip(a, b, strict=True)) / len(both)
+    assert met[0.03] > 0.9 and met[0.08] > 0.5, met
