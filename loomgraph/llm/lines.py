@@ -219,21 +219,8 @@ def _same(a: str, b: str) -> int:
     return lo
 
 
-def within(a: str, b: str, most: int) -> bool:
-    """Whether the edit distance is at most ``most``: bit-parallel, a column of the table as one integer.
-
-    Common beginnings and ends go first. What is left of n characters takes n steps over n bits.
-    """
-    k = _same(a, b)
-    a, b = a[k:], b[k:]
-    k = _same(a[::-1], b[::-1])
-    a, b = sorted((a[: len(a) - k], b[: len(b) - k]), key=len)
-    if len(b) - len(a) > most:
-        return False
-    if len(b) <= most:
-        return True
-    if not a:
-        return False
+def _alone(a: str, b: str, most: int) -> int:
+    """The edit distance of a and b, which is not shorter, or ``most`` + 1: bit-parallel, a column of the table as one integer."""
     at: dict[str, int] = {}
     for i, c in enumerate(a):
         at[c] = at.get(c, 0) | 1 << i
@@ -249,88 +236,139 @@ def within(a: str, b: str, most: int) -> bool:
         elif minus & last:
             score -= 1
         if score - left > most:
-            return False
+            return most + 1
         plus = plus << 1 | 1
         down = plus & zero
         up = (minus << 1 | full ^ (full & plus | zero)) & full
-    return score <= most
+    return score
 
 
-#: Longest shorter text whose edit distance is taken many pairs at a time, and pairs times words of 64 bits at a time.
-LANES, TOGETHER = 512, 8192
+def within(a: str, b: str, most: int) -> bool:
+    """Whether the edit distance is at most ``most``.
+
+    Common beginnings and ends go first. What is left of n characters takes n steps over n bits.
+    """
+    k = _same(a, b)
+    a, b = a[k:], b[k:]
+    k = _same(a[::-1], b[::-1])
+    a, b = sorted((a[: len(a) - k], b[: len(b) - k]), key=len)
+    if len(b) - len(a) > most:
+        return False
+    return len(b) <= most or bool(a) and _alone(a, b, most) <= most
+
+
+#: Longest text whose edit distance is taken many pairs at a time, and 64-bit words of masks that are held for them.
+LANES, TOGETHER = 2048, 1 << 20
 
 
 def _together(a: list[str], b: list[str], most: np.ndarray) -> np.ndarray:
-    """``within`` of many pairs, b falling in length: a column of each pair's table is a row of 64-bit words."""
-    at, n = np.array([len(x) for x in a]), np.array([len(y) for y in b])
-    code = lambda t, size: np.frombuffer("".join(t).encode("utf-32-le"), "<u4") + np.repeat(np.arange(len(t)) << 21, size)
+    """Edit distances of pairs of like length, none of b longer than a; ``most`` + 1 where that is exceeded.
+
+    The diagonals that a path of ``most`` edits can touch are a column of bits, which moves down a row with each character
+    of b. A distance never falls along a diagonal, so a pair ends where that of the last cell's exceeds ``most``.
+    """
+    m, n, one = np.array([len(x) for x in a]), np.array([len(y) for y in b]), np.uint64(1)
+    above = (most - (m - n)) // 2  # diagonals above the first cell's
+    target = m - n + above
+    words = int(target.max() + above.max()) // 64 + 1
+    code = lambda t: np.frombuffer("".join(t).encode("utf-32-le"), "<u4")
     place = lambda size: np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-    words, one = -(-int(at.max()) // 64), np.uint64(1)
-    chars, row = np.unique(code(a, at), return_inverse=True)
-    masks, i = np.zeros((words, len(chars) + 1), np.uint64), place(at)
-    np.bitwise_or.at(masks, (i >> 6, row), one << (i & 63).astype(np.uint64))
-    asked = code(b, n)
-    row = np.minimum(np.searchsorted(chars, asked), len(chars) - 1)
-    row[chars[row] != asked] = len(chars)
-    steps = np.full((int(n[0]), len(b)), len(chars))
-    steps[place(n), np.repeat(np.arange(len(b)), n)] = row
-
-    out, who = np.zeros(len(a), bool), np.arange(len(a))
-    last = np.where((at - 1) >> 6 == np.arange(words)[:, None], one << ((at - 1) & 63).astype(np.uint64), np.uint64(0))
-    up, down, score = np.full((words, len(a)), ~np.uint64(0)), np.zeros((words, len(a)), np.uint64), at.copy()
-    for j in range(len(steps)):
-        ended = np.searchsorted(-n[who], -j)  # from here on, b has no character j
-        if ended < len(who) or j % 16 == 0:
-            out[who[ended:]] = score[ended:] <= most[who[ended:]]
-            stay = np.flatnonzero(score[:ended] - (n[who[:ended]] - j) <= most[who[:ended]])
-            if len(stay) < len(who):
-                who, last, up, down, score = who[stay], last[:, stay], up[:, stay], down[:, stay], score[stay]
-        if not len(who):
-            return out
-        rise, fall = np.ones(len(who), np.uint64), np.zeros(len(who), np.uint64)
-        c = steps[j, who]
+    x, y, pair = code(a), code(b), np.arange(len(a))
+    known = np.zeros(int(max(x.max(), y.max())) + 1, bool)
+    known[x] = True
+    letter = np.cumsum(known) * known  # 0: in no a
+    kinds = int(known.sum()) + 1
+    # masks[w, k * pairs + p]: where a of pair p has letter k, from ``above`` rows before its first
+    rows = int(max((m + above).max(), n.max() + 64 * words)) // 64 + 2
+    if len(a) > 1 and rows * kinds * len(a) > 4 * TOGETHER:
+        k = len(a) // 2
+        return np.concatenate([_together(a[:k], b[:k], most[:k]), _together(a[k:], b[k:], most[k:])])
+    masks, i = np.zeros((rows, kinds * len(a)), np.uint64), place(m) + np.repeat(above, m)
+    np.bitwise_or.at(masks.ravel(), (i >> 6) * masks.shape[1] + letter[x] * len(a) + np.repeat(pair, m), one << (i & 63).astype(np.uint64))
+    steps = np.zeros((int(n.max()), len(a)), np.int64)
+    steps[place(n), np.repeat(pair, n)] = letter[y] * len(a)
+    steps += pair
+
+    out, who, last, far = most + 1, pair, n, m - n
+    bit = np.where(target >> 6 == np.arange(words)[:, None], one << (target & 63).astype(np.uint64), np.uint64(0))
+    start = np.clip(above - 64 * np.arange(words)[:, None], 0, 64)  # rows before the first differ by nothing
+    up = np.where(start < 64, ~np.uint64(0) << np.minimum(start, 63).astype(np.uint64), np.uint64(0))
+    down, limit, ends = np.zeros_like(up), most, set(n.tolist())
+    for j in range(len(steps) + 1):
+        if j in ends or j % 8 == 0:
+            over = last == j
+            out[who[over]] = np.minimum(far[over], out[who[over]])
+            stay = ~over & (far <= limit)
+            if np.count_nonzero(stay) < (len(who) if over.any() else 0.8 * len(who)):
+                who, last, far, limit, bit, up, down = who[stay], last[stay], far[stay], limit[stay], bit[:, stay], up[:, stay], down[:, stay]
+            if not len(who):
+                break
+        c, by, add, zeros = steps[j, who], np.uint64(j & 63), None, []
+        for w in range(words):
+            x = masks[(j >> 6) + w][c] >> by
+            if j & 63:
+                x |= masks[(j >> 6) + w + 1][c] << (np.uint64(64) - by)
+            p = up[w]
+            total = (x & p) + p
+            if w + 1 < words or add is not None:
+                carry = total < p
+                if add is not None:
+                    total += add
+                    carry |= total < add
+                add = carry.astype(np.uint64)
+            zeros.append((total ^ p) | x | down[w])
+        hit = zeros[0] & bit[0]
+        for w in range(1, words):
+            hit |= zeros[w] & bit[w]
+        far = far + (hit == 0)
         for w in range(words):
-            p, m = up[w], down[w]
-            x = masks[w][c]
-            both = x | m
-            x |= fall
-            zero = (((x & p) + p) ^ p) | x
-            plus, minus = m | ~(zero | p), p & zero
-            score += ((plus & last[w]) != 0).astype(np.int64) - ((minus & last[w]) != 0)
-            plus, rise = plus << one | rise, plus >> np.uint64(63)
-            minus, fall = minus << one | fall, minus >> np.uint64(63)
-            up[w], down[w] = minus | ~(both | plus), plus & both
-    out[who] = score <= most[who]
+            zero, p = zeros[w], up[w]
+            plus, minus = down[w] | ~(zero | p), zero & p
+            zero = zero >> one
+            if w + 1 < words:
+                zero |= zeros[w + 1] << np.uint64(63)
+            up[w], down[w] = minus | ~(zero | plus), zero & plus
     return out
 
 
-def all_within(a: list[str], b: list[str], most: list[int]) -> np.ndarray:
-    """``within`` of each pair. Pairs whose shorter text is within ``LANES`` go together with others of like length."""
-    out, some = np.zeros(len(a), bool), []
-    for i, (x, y, m) in enumerate(zip(a, b, most, strict=True)):
-        if min(len(x), len(y)) > LANES:
-            out[i] = within(x, y, m)
+def distances(a: list[str], b: list[str], most: list[int]) -> np.ndarray:
+    """The edit distance of each pair, or any larger number than ``most`` if it exceeds that. Pairs of like length go together."""
+    most = np.array(most, np.int64)
+    out, some = most + 1, []
+    for i, (x, y, m) in enumerate(zip(a, b, most.tolist(), strict=True)):
+        if len(x) < len(y):
+            x, y = y, x
+        if len(x) - len(y) > m:
             continue
         k = _same(x, y)
         x, y = x[k:], y[k:]
         k = _same(x[::-1], y[::-1])
-        x, y = sorted((x[: len(x) - k], y[: len(y) - k]), key=len)
-        if len(y) <= m:
-            out[i] = True
-        elif x and len(y) - len(x) <= m:
-            some.append((-(-len(x) // 64), -len(y), i, x, y, m))
+        x, y = x[: len(x) - k], y[: len(y) - k]
+        if not y:
+            out[i] = len(x)
+        elif len(x) > LANES:
+            out[i] = _alone(y, x, m)
+        else:
+            some.append((min(m, len(x)) // 64, -len(x), i, x, y, min(m, len(x))))
     some.sort(key=lambda t: t[:3])
     lo = 0
     while lo < len(some):
-        hi = min(len(some), lo + TOGETHER // some[lo][0])
+        hi = min(len(some), lo + max(1, TOGETHER // (40 * (2 - some[lo][1] // 64))))
         while some[hi - 1][0] != some[lo][0]:
             hi -= 1
         _, _, i, x, y, m = zip(*some[lo:hi], strict=True)
-        out[list(i)] = _together(x, y, np.array(m))
+        m, i = np.array(m), list(i)
+        got = _together(x, y, m)
+        out[i] = np.where(got <= m, got, out[i])
         lo = hi
     return out
 
 
+def all_within(a: list[str], b: list[str], most: list[int]) -> np.ndarray:
+    """``within`` of each pair."""
+    return distances(a, b, most) <= np.array(most, np.int64)
+
+
 #: Counters of neighbouring characters in a bag, and characters of lines whose bags are compared at once.
 BAG, CHUNK = 256, 1 << 21
 
@@ -420,10 +458,15 @@ def duplicates(documents: DataFrame, least: int = 5, similarity: float = 0.8, ke
         else:
             named = at(lists.drop("pivot"), "a")
             mixed = named.groupBy("value").agg(F.min("root_a").alias("lo"), F.max("root_a").alias("hi")).where("lo < hi").select("value")
-            named = written(named.join(mixed, "value"), "mixed")
-            apart = _pairs(named.join(named.withColumnsRenamed({"a": "b", "size_a": "size_b", "root_a": "root_b"}), "value").where((F.col("root_a") < F.col("root_b")) & close))
+            # two nodes meet in the smallest value that both have, so each pair comes once, however many values it has in common
+            named = named.join(mixed, "value").groupBy("a", "size_a", "root_a").agg(F.array_sort(F.collect_set("value")).alias("all_a"))
+            named = written(named.select("*", F.explode("all_a").alias("value")), "mixed")
+            met = named.join(named.withColumnsRenamed({"a": "b", "size_a": "size_b", "root_a": "root_b", "all_a": "all_b"}), "value")
+            met = met.where((F.col("root_a") < F.col("root_b")) & close & (F.array_min(F.array_intersect("all_a", "all_b")) == F.col("value")))
+            apart = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
         more = written(apart.join(done, ["a", "b"], "left_anti"), "pairs")
-        links = links.unionByName(linked(more, texts, similarity))
+        known = root.where("node <> root").select(F.col("root").alias("a"), F.col("node").alias("b"))
+        links = known.unionByName(linked(more, texts, similarity))
         done = done.unionByName(more)
 
     root = components(links).select(F.col("node").alias("id"), "root")
