@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import os
 import tempfile
 import uuid
@@ -79,6 +81,12 @@ def dealt(left: DataFrame, right: DataFrame, keys: DataFrame, on: str, by: str =
     return left.join(right, [on, "part"]).drop("part")
 
 
+def trim() -> None:
+    """Give the memory that a task has freed back to the machine, as its Python worker stays; only glibc has that call."""
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def fold(key: str, folds: int) -> Column:
     """crc32 of the id as text, modulo ``folds``; null for a null id."""
     return F.pmod(F.crc32(F.col(key).cast("string").cast("binary")), F.lit(folds))

@@ -21,21 +21,24 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import small, table, written
+from .common import small, table, trim, written
 from .tokens import crc, encoded
 
 #: Pieces of one length that one window numbers, at most about this many.
 PART = 20_000
+#: Pieces of text whose ids a worker keeps after its task: what it holds stands beside whatever its executor runs next.
+KEPT = 1 << 19
 
 
 def pieces(documents: DataFrame, tokenizer: str, end: int, size: int, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 of each document's ids and end id, cut at ``size``."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for keys, ids in encoded(batches, tokenizer, end):
+        for keys, ids in encoded(batches, tokenizer, end, KEPT):
             out = [(k, i, i * size, len(x[i * size : (i + 1) * size]), crc(x[i * size : (i + 1) * size])) for k, x in zip(keys, ids, strict=True) for i in range(-(-len(x) // size))]
             cols = list(zip(*out, strict=True))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+        trim()
 
     d = documents.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     return d.mapInArrow(rows, "doc_id long, piece int, start long, length long, ids_crc32 long")

@@ -95,13 +95,16 @@ class Encoder:
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str) -> Encoder:
-    return Encoder(path)
+def encoder(path: str, most: int = 1_500_000) -> Encoder:
+    return Encoder(path, most)
 
 
-def encoded(batches: Iterator[pa.RecordBatch], path: str, end: int) -> Iterator[tuple[list, list[np.ndarray]]]:
-    """Ids of the documents' rows (first column) and the token ids of their texts (second) with the end id, a few MB at a time."""
-    enc = encoder(path)
+def encoded(batches: Iterator[pa.RecordBatch], path: str, end: int, most: int = 1_500_000) -> Iterator[tuple[list, list[np.ndarray]]]:
+    """Ids of the documents' rows (first column) and the token ids of their texts (second) with the end id, a few MB at a time.
+
+    The worker keeps up to ``most`` pieces and their ids for its next task.
+    """
+    enc = encoder(path, most)
     for b in batches:
         keys, texts = b.column(0).to_pylist(), [t or b"" for t in b.column(1).cast(pa.binary()).to_pylist()]
         for lo, hi in groups(texts):

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fold, small, table, written
+from .common import fold, small, table, trim, written
 from .words import ALNUM, Table, Words, groups, mix, ngram_hash, span_hash
 
 #: Lengths of word beginnings, in bytes; 0 stands for the whole word. These may label tokens.
@@ -55,8 +55,8 @@ def _context(w: Words) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     yield inner, mix(w.hash[inner + 1] + np.uint64(13))
 
 
-def _messages(u: np.ndarray, first: np.ndarray, step: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Odds of label 1 to 0 of each token: by its own features, by what stands up to it, and by what stands after it.
+def _messages(u: np.ndarray, first: np.ndarray, step: np.ndarray, over: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Odds of label 1 to 0 of each token: by its own features (``over``: written over ``u``), by what stands up to it, and after it.
 
     Messages are odds, so nothing under- or overflows; chains are taken longest first, so those still running are a prefix.
     """
@@ -65,7 +65,8 @@ def _messages(u: np.ndarray, first: np.ndarray, step: np.ndarray) -> tuple[np.nd
     order = np.argsort(-size, kind="stable")
     start, size = first[:-1][order], size[order]
     running = np.searchsorted(-size, -np.arange(size[0] if len(size) else 0), "left")  # chains longer than t
-    odds = np.exp(np.clip(u, -50, 50))
+    odds = np.clip(u, -50, 50, out=u if over else None)
+    np.exp(odds, out=odds)
     ahead, back = np.ones(len(u)), np.ones(len(u))
     r = None
     for t, n in enumerate(running.tolist()):
@@ -157,8 +158,8 @@ PAIRS, PART = 1 << 17, 1 << 21
 
 
 def _summed(u: np.ndarray, first: np.ndarray, step: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """P(toxic) of each token, and the sum of all P(i, j) of ``pair_marginals``, of which only a part is held at once."""
-    odds, ahead, back = _messages(u, first, step)
+    """P(toxic) of each token, and the sum of all P(i, j) of ``pair_marginals``, of which only a part is held at once. ``u`` is used up."""
+    odds, ahead, back = _messages(u, first, step, over=True)
     begins = np.zeros(len(u), bool)
     begins[first[:-1][np.diff(first) > 0]] = True
     odds *= back
@@ -307,6 +308,8 @@ def fitted(documents: DataFrame, labels: DataFrame, toxic: int = 3000, max_bytes
         sample = [(y, t) for b in batches for y, t in zip(b.column("label").to_pylist(), b.column("text").cast(pa.binary()).to_pylist(), strict=True)]
         if sample:
             yield pa.RecordBatch.from_pydict({"model": pa.array([pickle.dumps(fit(sample))], pa.binary())})
+            sample.clear()
+            trim()
 
     got = rows.repartition(1).sortWithinPartitions("doc_id", "text").mapInArrow(model, "model binary").collect()
     return pickle.loads(got[0]["model"]) if got else fit([])
@@ -323,10 +326,10 @@ def scored(documents: DataFrame, model: Model, columns: list[str], least: float
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m: Model = shared.value
         for b in batches:
-            texts = [(t or b"").lower() for t in b.column("words").cast(pa.binary()).to_pylist()]
+            texts = [t or b"" for t in b.column("words").cast(pa.binary()).to_pylist()]
             keep = b.select(places)
             for lo, hi in groups(texts):
-                w = Words(texts[lo:hi], ALNUM)
+                w = Words([t.lower() for t in texts[lo:hi]], ALNUM)
                 score, own, p = m.scores(w)
                 spans: list[list] = [[] for _ in range(hi - lo)]
                 tagged = own[p >= 0.5]
