@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import dealt, forget, small, table, written
+from .common import dealt, forget, small, table, trim, written
 from .components import components
 from .words import NOT_SPACE, Words, groups, mix, shingle_sets
 
@@ -206,6 +206,7 @@ def postings(d: DataFrame, rule: Rule, light: int, level: np.ndarray) -> DataFra
             if tokens:
                 columns = {"token": _signed(np.concatenate(tokens)), "doc_id": np.concatenate(docs), "size": np.concatenate(sizes), "weight": np.concatenate(weights), "name": np.concatenate(names)}
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns.values()], names=list(columns))
+        trim()
 
     return d.mapInArrow(rows, "token long, doc_id long, size int, weight int, name long")
 
@@ -258,6 +259,7 @@ def linked(pairs: DataFrame, d: DataFrame, rule: Rule) -> DataFrame:
                 if both and 100 * both >= rule.percent * (len(x) + len(y) - both):
                     ok.append((a, b))
             yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in ok], pa.int64()) for k in (0, 1)], names=["a", "b"])
+        trim()
 
     return written(_met(pairs, d).mapInArrow(rows, "a long, b long"), "linked")
 
@@ -277,6 +279,7 @@ def differences(pairs: DataFrame, d: DataFrame, rule: Rule) -> DataFrame:
                 for c, v in zip(out, values, strict=True):
                     c.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(out, kinds, strict=True)], names=[n for n, _ in kinds])
+        trim()
 
     return written(_met(pairs, d).mapInArrow(rows, "a long, b long, size int, size_b int, dist int, linked boolean, tokens array<long>"), "differences")
 
@@ -355,6 +358,7 @@ def signatures(ids: DataFrame, d: DataFrame, rule: Rule) -> DataFrame:
             odd = (np.bincount(at * 64 * SIGNS + bit, minlength=len(sets) * 64 * SIGNS) & 1).astype(np.uint8)
             words = np.packbits(odd).view(np.int64).reshape(len(sets), SIGNS)
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), *[pa.array(words[:, k]) for k in range(SIGNS)]], names=["a", *[f"s{k}" for k in range(SIGNS)]])
+        trim()
 
     t = d.join(small(written(ids, "ids")), "doc_id", "left_semi").select("doc_id", "text")
     return t.mapInArrow(rows, ", ".join(["a long", *[f"s{k} long" for k in range(SIGNS)]])).dropDuplicates(["a"])

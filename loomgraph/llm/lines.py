@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import dealt, small, table, written
+from .common import dealt, small, table, trim, written
 from .components import components
 from .words import ALNUM, Words, groups, mix, ngram_hash, span_hash
 
@@ -179,6 +179,7 @@ def found(d: DataFrame, least: int, near: str = "blocks") -> DataFrame:
                 values = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32()), pa.array(values, pa.int64()))
                 name = x.key.view(">i8")[::2].astype(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(ids[lo:hi][x.doc], pa.int64()), pa.array(x.number, pa.int32()), _keys(x.key), pa.array(name), values], names=["doc_id", "line", "key", "name", "values"])
+        trim()
 
     return d.where("doc_id is not null").mapInArrow(rows, "doc_id long, line int, key binary, name long, values array<long>")
 
@@ -416,6 +417,7 @@ def linked(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
             may = np.flatnonzero(possible(x, y, most))
             close = all_within(*[[c[i] for i in may] for c in (x, y, most)])
             yield batch.select(["a", "b"]).take(pa.array(may[close]))
+        trim()
 
     side = lambda c: texts.select(F.col("id").alias(c), F.col("words").alias(f"words_{c}"), F.col("size").alias(f"size_{c}"))
     m = dealt(pairs.join(side("a"), "a"), side("b"), pairs, "b")

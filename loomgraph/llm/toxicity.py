@@ -341,6 +341,7 @@ def scored(documents: DataFrame, model: Model, columns: list[str], least: float
                         spans[d].append({"start": int(points[w.start[run[0]]] - base - 1), "end": int(points[w.end[run[-1]] - 1] - base)})
                 out = pa.RecordBatch.from_arrays([*keep.slice(lo, hi - lo).columns, pa.array(score), pa.array(spans, spans_type)], names=[*places, "score", "spans"])
                 yield out if least is None else out.filter(pa.array(score < least))
+        trim()
 
     d = documents.select(*[F.col(f"`{c}`").alias(p) for c, p in zip(kinds, places, strict=True)], F.col(text).cast("string").alias("words"))
     schema = "".join(f"{p} {t}, " for p, t in zip(places, kinds.values(), strict=True))
